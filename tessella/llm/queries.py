@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import leakage, mixing, neardup, sitelines, tokens
+from tessella.llm import abuse, langid, leakage, mixing, neardup, pairs, sitelines, tokens
 from tessella.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    gold = pairs.pair_defects(table(spark, d, "eval_set_gold_manual"), "item_id", "question", "answer_ref")
+    cached = pairs.pair_defects(table(spark, d, "cached_answers"), "id", "question", "answer")
+    named = [x.select(F.lit(n).alias("tbl"), "row_id", "defect") for n, x in (("eval_set_gold_manual", gold), ("cached_answers", cached))]
+    return named[0].unionByName(named[1])
+
+
 def _counted(spark: SparkSession, d: str) -> DataFrame:
     return tokens.record_tokens(table(spark, d, "document_records"), table(spark, d, "documents"), table(spark, d, "scanned_pages"))
 
@@ -34,6 +41,23 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_groups(neardup.similar_pairs(table(spark, d, "scanned_pages"))).withColumnRenamed("id", "page_id")
 
 
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    return langid.record_languages(table(spark, d, "document_records"), table(spark, d, "documents"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.mislabelled(_languages(spark, d))
+
+
+def p5_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every record, and of every passage of a mixed text (passage_no from 1; 0: whole text)."""
+    found = _languages(spark, d).where("main is not null")
+    whole = found.select("record_id", F.lit(0).alias("passage_no"), F.col("main").alias("lang_code"), "confidence", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    parts = found.where(F.size("passages") > 1).select("record_id", F.posexplode("passages").alias("i", "p"))
+    parts = parts.select("record_id", (F.col("i") + 1).alias("passage_no"), F.col("p.lang").alias("lang_code"), F.col("p.confidence").alias("confidence"), "p.start", "p.end")
+    return whole.unionByName(parts)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.repeated_lines(table(spark, d, "scanned_pages")).select("site", "line_key")
 
@@ -59,8 +83,27 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def _scores(spark: SparkSession, d: str, keep: tuple[str, ...]) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abuse.scored(docs, abuse.fit_on(docs, table(spark, d, "doc_labels")), keep)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.flagged(_scores(spark, d, ("doc_id",)))
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d, ("doc_id",)).select("doc_id", *[F.round(c, 6).alias(c) for c in abuse.CATEGORIES])
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(_scores(spark, d, ("doc_id", "source")))
+
+
 def queries() -> dict[str, Query]:
-    named = [p3_found, p3_totals, p4_found, p4_groups, p6_found, p6_cleaned, p7_found, p7_near, p8_selection, p8_shares]
+    named = [
+        p1_found, p3_found, p3_totals, p4_found, p4_groups, p5_found, p5_passages, p6_found, p6_cleaned, p7_found, p7_near, p8_selection, p8_shares, p9_found, p9_scores, p9_rates,
+    ]
     return {f.__name__: f for f in named}
 
 
