@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import abuse, langid, leakage, mixing, neardup, pairs, sitelines, tokens
+from tessella.llm import abuse, boilerplate, langid, leakage, mixing, neardup, pairs, sitelines, tokens
 from tessella.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return named[0].unionByName(named[1])
 
 
+def _furniture(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "scanned_pages")
+    return boilerplate.furniture_lines(pages, boilerplate.fit_on(pages))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _furniture(spark, d).select("page_id", "line_no")
+
+
+def p2_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_text(table(spark, d, "scanned_pages"), _furniture(spark, d))
+
+
 def _counted(spark: SparkSession, d: str) -> DataFrame:
     return tokens.record_tokens(table(spark, d, "document_records"), table(spark, d, "documents"), table(spark, d, "scanned_pages"))
 
@@ -102,7 +115,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = [
-        p1_found, p3_found, p3_totals, p4_found, p4_groups, p5_found, p5_passages, p6_found, p6_cleaned, p7_found, p7_near, p8_selection, p8_shares, p9_found, p9_scores, p9_rates,
+        p1_found, p2_found, p2_main_text, p3_found, p3_totals, p4_found, p4_groups, p5_found, p5_passages, p6_found, p6_cleaned, p7_found, p7_near, p8_selection, p8_shares, p9_found, p9_scores, p9_rates,
     ]
     return {f.__name__: f for f in named}
 
