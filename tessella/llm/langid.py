@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.sample import bounded_sample
 from tessella.llm.words import visible
 from tessella.session import spread
 
@@ -198,9 +199,10 @@ def label_code(c: Column) -> Column:
 
 def fit_on(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", most: int = SAMPLE_DOCS) -> Model:
     """Fit on at most ``most`` labelled documents, drawn by hash of their id."""
-    sample = docs.select(F.col(key).alias("k"), F.substring(F.col(text), 1, 20_000).alias("t"), label_code(F.col(label)).alias("l"))
-    sample = sample.where(F.col("l").isin(*LANGS) & F.col("t").isNotNull()).orderBy(F.xxhash64("k"), "k").limit(most)
-    return fit([(r["t"], r["l"]) for r in sample.collect()])
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), label_code(F.col(label)).alias("l"))
+    rows = bounded_sample(rows.where(F.col("l").isin(*LANGS)), F.col("k"), most)
+    found = rows.select("k", F.substring("t", 1, 20_000).alias("t"), "l").where("t is not null").collect()
+    return fit([(r["t"], r["l"]) for r in sorted(found, key=lambda r: (r["k"], r["l"], r["t"]))])
 
 
 def detected(docs: DataFrame, model: Model, key: str = "source_path", text: str = "text") -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.langid import COMMON, LANGS, Model, WordScores, decode_costs, fit
+from tessella.llm.sample import bounded_sample
 from tessella.llm.words import WORDS, visible
 from tessella.session import spread
 
@@ -296,7 +297,7 @@ def defects_of(question: str | None, answer: str | None, scores: WordScores | No
 def fit_on_pairs(pairs: DataFrame, most: int = SAMPLE_PAIRS) -> Model:
     """n-gram classifiers from (q, a) rows whose function words and letters tell the language clearly."""
     cols = [F.substring(c, 1, 5_000).alias(c) for c in ("q", "a")]
-    sample = pairs.where("q is not null and a is not null").orderBy(F.xxhash64("q", "a"), "row_id").limit(most).select(*cols).collect()
+    sample = bounded_sample(pairs, F.col("row_id"), most).where("q is not null and a is not null").select(*cols).collect()
     labelled = []
     for r in sample:
         text = _QUOTED.sub(" ", visible(f"{r['q']} {r['a']}"))
