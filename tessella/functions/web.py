@@ -128,7 +128,8 @@ class _Page(HTMLParser):
             self.text.append(data.strip())
 
 
-PAGE = "title string, headings array<string>, text string, links array<struct<href:string,anchor:string>>"
+_LINK = T.StructType().add("href", T.StringType()).add("anchor", T.StringType())
+PAGE = T.StructType().add("title", T.StringType()).add("headings", T.ArrayType(T.StringType())).add("text", T.StringType()).add("links", T.ArrayType(_LINK))
 
 
 @F.pandas_udf(PAGE)

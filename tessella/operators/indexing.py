@@ -36,7 +36,7 @@ def not_yet_indexed(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 
 def replace_by_source(old: DataFrame, new: DataFrame, source: str = "source") -> DataFrame:
     """Old rows of sources that ``new`` does not have, and all new rows; a null source never matches."""
-    return old.join(new.select(source).distinct(), source, "left_anti").unionByName(new, allowMissingColumns=True)
+    return old.join(new.select(source).distinct(), source, "left_anti").select(*old.columns).unionByName(new, allowMissingColumns=True)
 
 
 def split_chunks(df: DataFrame, key: str, text: str = "text") -> DataFrame:
