@@ -43,6 +43,7 @@ _CONTACT = re.compile(r"\S@\S+\.\S|\+?\d[\d\s()\-]{6,}\d")
 _URL = re.compile(r"https?://|www\.|={4,}", re.I)
 _DATE = re.compile(r"\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{1,2}:\d{2}\b|\b(?:19|20)\d\d\b")
 _QUOTED = re.compile(r"«[^«»]*»|„[^„“”]*[“”]|“[^“”]*”|\"[^\"]*\"")
+_DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"\d+")
 _ENDED = re.compile(r"[.!?…][»”\"')\]]*\Z")
 # Words that mark furniture in the weak labels (stems).
@@ -79,56 +80,74 @@ def leaves(text: str | None) -> list[tuple[int, str, bool, bool]]:
 
 
 ROLE_NAMES = 38
+OWN = 22  # the first roles depend on the line alone
 
 
-def roles(rows: list[tuple[int, str, bool, bool]], title: str | None, headings) -> tuple[np.ndarray, list[list[str]]]:
-    """Role vectors of a page's leaves, and their words in lower case."""
+class Facts(dict):
+    """line -> (own roles, number of words, word ids, text in lower case and single spaces, ended, separators); bounded.
+
+    Furniture recurs, so about half of all lines are looked up.
+    """
+
+    def __missing__(self, s: str):
+        if len(self) > 40_000:
+            self.clear()
+        low = s.lower()
+        words = WORDS.findall(low)
+        k, last, first = len(words), s[-1], s[0]
+        digits = len(_DIGIT.findall(s))
+        seps = len(_SEPARATOR.findall(s)) if any(c in s for c in "|·•»›>/→") else 0
+        size = 0 if k < 2 else 1 if k == 2 else 2 if k < 5 else 3 if k < 9 else 4 if k < 15 else 5
+        contact = ("@" in s or digits > 6) and _CONTACT.search(s) is not None
+        url = ("://" in s or "www." in low or "====" in s) and _URL.search(s) is not None
+        v = np.array(
+            (
+                size == 0, size == 1, size == 2, size == 3, size == 4, size == 5, last == ".", last in "!?…", last == ":", last in ",;",
+                first.islower(), first.isupper(), first.isdigit(), _BULLET.match(s) is not None, k > 0 and s.isupper(), digits / len(s),
+                seps >= 1, seps >= 3, contact, "©" in s, url, digits > 1 and _DATE.search(s) is not None,
+            ), dtype=np.float32,
+        )
+        fact = v, k, np.array([word_id(w) for w in words], dtype=np.int64), " ".join(low.split()), last in ".!?…»”\"')]" and _ENDED.search(s) is not None, seps
+        self[s] = fact
+        return fact
+
+
+FACTS = Facts()
+
+
+def roles(rows: list[tuple[int, str, bool, bool]], title: str | None, headings) -> tuple[np.ndarray, list]:
+    """Role vectors of a page's leaves, and the facts of each line."""
     title = _flat(title)
     heads = {_flat(h) for h in headings} if headings is not None else set()
     heads.discard("")
     n = len(rows)
+    facts = [FACTS[r[1]] for r in rows]
     x = np.zeros((n, ROLE_NAMES), dtype=np.float32)
-    all_words = []
+    if not n:
+        return x, facts
+    x[:, :OWN] = [f[0] for f in facts]
+    x[:, 25], x[:, 26] = not title, not heads
+    at = np.arange(n)
+    x[:, 29], x[:, 30], x[:, 31], x[0, 36] = at / n, at < 3, n - at <= 5, 1
+    more = []
     before_open, before_len = False, 0
-    for i, (_, s, blank, blank_next) in enumerate(rows):
-        low = s.lower()
-        words = WORDS.findall(low)
-        all_words.append(words)
-        k, v = len(words), x[i]
-        v[0 if k < 2 else 1 if k == 2 else 2 if k < 5 else 3 if k < 9 else 4 if k < 15 else 5] = 1
-        last, first = s[-1], s[0]
-        v[6], v[7], v[8], v[9] = last == ".", last in "!?…", last == ":", last in ",;"
-        v[10], v[11], v[12] = first.islower(), first.isupper(), first.isdigit()
-        v[13] = _BULLET.match(s) is not None
-        v[14] = s.isupper() and k > 0
-        v[15] = sum(map(str.isdigit, s)) / len(s)
-        seps = len(_SEPARATOR.findall(s))
-        v[16], v[17] = seps >= 1, seps >= 3
-        v[18], v[19], v[20], v[21] = _CONTACT.search(s) is not None, "©" in s, _URL.search(s) is not None, _DATE.search(s) is not None
-        flat = " ".join(low.split())
-        v[22], v[23] = bool(title) and flat == title, flat in heads
-        v[24] = bool(title) and flat != title and title in flat
-        v[25], v[26] = not title, not heads
-        v[27], v[28] = blank, blank_next
-        v[29], v[30], v[31] = i / n, i < 3, n - i <= 5
-        v[32] = before_open and not blank and first.islower()
-        v[33] = before_open and not blank
-        v[34] = len(s) > 45 and abs(len(s) - before_len) < 14
-        v[35] = min(len(s), 400) / 400
-        v[36] = i == 0
-        v[37] = s.startswith("=====")
-        ended = _ENDED.search(s) is not None
-        before_open = not ended and (k >= 5 or bool(v[33] and k >= 2)) and seps < 2 and not v[22] and not v[23]
-        before_len = len(s)
-    return x, all_words
+    for (_, s, blank, blank_next), (_, k, _, flat, ended, seps) in zip(rows, facts, strict=True):
+        size = len(s)
+        is_title, is_head = flat == title, flat in heads
+        goes_on = before_open and not blank
+        more.append((is_title, is_head, not is_title and title != "" and title in flat, blank, blank_next, goes_on and s[0].islower(), goes_on, size > 45 and abs(size - before_len) < 14, min(size, 400) / 400, s.startswith("=====")))
+        before_open = not ended and (k >= 5 or goes_on and k >= 2) and seps < 2 and not is_title and not is_head
+        before_len = size
+    x[:, [22, 23, 24, 27, 28, 32, 33, 34, 35, 37]] = more
+    return x, facts
 
 
 def page_input(text, title, headings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Line numbers, roles, word ids, words per line."""
     rows = leaves(text)
-    x, words = roles(rows, title, headings)
-    ids = np.array([word_id(w) for ws in words for w in ws], dtype=np.int64)
-    return np.array([r[0] for r in rows], dtype=np.int32), x, ids, np.array([len(w) for w in words], dtype=np.int64)
+    x, facts = roles(rows, title, headings)
+    ids = np.concatenate([f[2] for f in facts]) if facts else np.empty(0, dtype=np.int64)
+    return np.array([r[0] for r in rows], dtype=np.int32), x, ids, np.array([len(f[2]) for f in facts], dtype=np.int64)
 
 
 def _key(s: str) -> str:
@@ -159,11 +178,11 @@ def weak_labels(pages: list[dict]) -> list[np.ndarray]:
     subheads -= titles
     out = []
     for p, (rows, keys) in zip(pages, split, strict=True):
-        x, words = roles(rows, p["title"], p["headings"])
+        x, facts = roles(rows, p["title"], p["headings"])
         y = np.full(len(rows), -1, dtype=np.int8)
         open_before = False
         for i, ((_, s, blank, blank_next), k) in enumerate(zip(rows, keys, strict=True)):
-            n, v = len(words[i]), x[i]
+            n, v = facts[i][1], x[i]
             often = total[k] * 70 >= len(pages) and total[k] >= 4 or per_site[p["site"], k] * 7 >= site_rows[p["site"]] and per_site[p["site"], k] >= 4
             goes_on = not blank_next and i + 1 < len(rows) and rows[i + 1][1][0].islower()
             prose = n >= 6 and (goes_on or len(_INNER_END.findall(s)) > 0 and v[16] == 0)
@@ -358,33 +377,55 @@ def fit_on(pages: DataFrame, most: int = SAMPLE_PAGES) -> Network:
     return fit([r.asDict() for r in sorted(sample, key=lambda r: r["page_id"])])
 
 
+def _judged(it: Iterator[pd.DataFrame], net: Network):
+    """(page ids, inputs, scores) of some pages at a time, pages of like length together."""
+    for pdf in it:
+        for lo in range(0, len(pdf), 1_024):
+            part = pdf.iloc[lo : lo + 1_024]
+            data = [page_input(*row) for row in zip(part["page_text"], part["page_title"], part["headings"], strict=True)]
+            order = np.argsort([len(d[1]) for d in data], kind="stable")
+            scores: list = [None] * len(data)
+            for at in range(0, len(order), 256):
+                group = order[at : at + 256]
+                for i, p in zip(group, net.scores([data[i] for i in group]), strict=True):
+                    scores[i] = p
+            yield part, data, scores
+
+
+def _shared(pages: DataFrame, net: Network):
+    return pages.sparkSession.sparkContext.broadcast(net.p)
+
+
+def _network(weights: dict) -> Network:
+    net = Network.__new__(Network)
+    net.p = weights
+    return net
+
+
 def furniture_lines(pages: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, line_no, score) of the lines that are not main content."""
-    shared = pages.sparkSession.sparkContext.broadcast(net.p)
+    shared = _shared(pages, net)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Network.__new__(Network)
-        own.p = shared.value
-        for pdf in it:
-            for lo in range(0, len(pdf), 1_024):
-                part = pdf.iloc[lo : lo + 1_024]
-                data = [page_input(*row) for row in zip(part["page_text"], part["page_title"], part["headings"], strict=True)]
-                order = np.argsort([len(d[1]) for d in data], kind="stable")
-                ids = part["page_id"].to_numpy()
-                out = []
-                for at in range(0, len(order), 256):
-                    group = order[at : at + 256]
-                    for i, p in zip(group, own.scores([data[i] for i in group]), strict=True):
-                        hit = p >= threshold
-                        out.append(pd.DataFrame({"page_id": ids[i], "line_no": data[i][0][hit], "score": p[hit].astype("float64")}))
-                yield pd.concat(out)
+        for part, data, scores in _judged(it, _network(shared.value)):
+            hit = [p >= threshold for p in scores]
+            ids = np.repeat(part["page_id"].to_numpy(), [h.sum() for h in hit])
+            lines = np.concatenate([d[0][h] for d, h in zip(data, hit, strict=True)])
+            yield pd.DataFrame({"page_id": ids, "line_no": lines, "score": np.concatenate([p[h] for p, h in zip(scores, hit, strict=True)]).astype("float64")})
 
     return spread(pages.select("page_id", "page_text", "page_title", "headings")).mapInPandas(run, "page_id bigint, line_no int, score double")
 
 
-def main_text(pages: DataFrame, furniture: DataFrame) -> DataFrame:
-    """(page_id, main_text): the page without its furniture lines; a page of nothing else gives ''."""
-    drop = furniture.groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))
-    lines = F.split("page_text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("drop", i + 1), F.lit(False)))
-    return pages.select("page_id", "page_text").join(drop, "page_id", "left").select("page_id", F.array_join(kept, "\n").alias("main_text"))
+def main_text(pages: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """(page_id, main_text): the page without its furniture lines, in one pass; null text stays null."""
+    shared = _shared(pages, net)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, data, scores in _judged(it, _network(shared.value)):
+            out = []
+            for t, d, p in zip(part["page_text"], data, scores, strict=True):
+                drop = set(d[0][p >= threshold].tolist())
+                out.append("\n".join(x for i, x in enumerate(t.split("\n"), 1) if i not in drop) if t is not None else None)
+            yield pd.DataFrame({"page_id": part["page_id"], "main_text": out})
+
+    return spread(pages.select("page_id", "page_text", "page_title", "headings")).mapInPandas(run, "page_id bigint, main_text string")

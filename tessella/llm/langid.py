@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.sample import bounded_sample
-from tessella.llm.words import visible
+from tessella.llm.words import rejoined, visible
 from tessella.session import spread
 
 LANGS = ("ru", "en", "uk", "de", "fr")
@@ -46,7 +46,6 @@ COMMON = {
 # Three-letter codes of the languages.
 THREE = {"rus": "ru", "eng": "en", "ukr": "uk", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr"}
 _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ][^\W\d_]+)*")
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*\n\s*(?=[^\W\d_])")
 _SENTENCE = re.compile(r"\S.*?(?:[.!?…]+[»”\"')\]]*(?=\s|\Z)|(?=\n[^\S\n]*\n)|\Z)", re.S)
 _ENDED = re.compile(r"[.!?…][»”\"')\]]*\Z")
 
@@ -123,7 +122,7 @@ def passages(text: str | None, scores: WordScores) -> tuple[str | None, float, l
     """
     if not text:
         return None, 0.0, []
-    text = _BROKEN.sub("", visible(text))
+    text = rejoined(visible(text))
     spans, words, counts = [], [], []
     for a, b in sentences(text):
         w = _WORD.findall(text[a:b].lower())

@@ -64,8 +64,8 @@ def bucket_keys(sk: np.ndarray, groups: int) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
-def similar_pairs(df: DataFrame, id_col: str = "page_id", text: str = "page_text", threshold: float = 0.6, words: int = 3, groups: int = 6) -> DataFrame:
-    """(a, b, similarity) with a < b: all colliding pairs of rows whose exact similarity reaches ``threshold``."""
+def representative_pairs(df: DataFrame, id_col: str = "page_id", text: str = "page_text", threshold: float = 0.6, words: int = 3, groups: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, similarity) of representatives whose exact similarity reaches ``threshold``, and the membership (rep, id, copies)."""
     seeds = seeds_for(groups)
 
     def sketches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,9 +99,14 @@ def similar_pairs(df: DataFrame, id_col: str = "page_id", text: str = "page_text
     near = near.join(info.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sk").alias("skb")), "b")
     near = near.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     near = cut_lineage(_sketch_filter(near, threshold).select("a", "b"))
-    found = _verified(src, id_col, text, near, words, threshold)
-    member = rows.join(reps.where("copies > 1").select("set_id", "n", "rep"), ["set_id", "n"]).select("rep", "id")
-    return _expanded(found, member)
+    member = rows.select("set_id", "n", "id").join(reps.select("set_id", "n", "rep", "copies"), ["set_id", "n"]).select("rep", "id", "copies")
+    return _verified(src, id_col, text, near, words, threshold), member
+
+
+def similar_pairs(df: DataFrame, id_col: str = "page_id", text: str = "page_text", threshold: float = 0.6, words: int = 3, groups: int = 6) -> DataFrame:
+    """(a, b, similarity) with a < b: all pairs of rows, copies included, whose exact similarity reaches ``threshold``."""
+    found, member = representative_pairs(df, id_col, text, threshold, words, groups)
+    return _expanded(found, member.where("copies > 1").select("rep", "id"))
 
 
 def _colliding(keyed: DataFrame) -> DataFrame:
@@ -156,23 +161,27 @@ def _expanded(found: DataFrame, member: DataFrame) -> DataFrame:
     return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
-def similar_groups(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, group_id, links): connected pages, the least id naming the group.
+def similar_groups(found: DataFrame, member: DataFrame, rounds: int = 30) -> DataFrame:
+    """(id, group_id, links): rows connected by similarity, the least id naming the group; rows without partner are left out.
 
-    Labels spread along links and along the labels themselves until nothing changes. Each round is
-    cut by a reliable checkpoint; the driver sees only the number of changes. Raises if ``rounds`` do not suffice.
+    Works on representatives: copies join their representative's group and are never paired. ``links`` counts the rows
+    similar to this one. Labels spread along pairs and along the labels themselves until nothing changes. Each
+    round is cut by a reliable checkpoint; the driver sees one number. Raises if ``rounds`` do not suffice.
     """
-    links = cut_lineage(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")).distinct())
-    label = links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("g"), F.count(F.lit(1)).alias("links"))
+    copies = cut_lineage(member.where("rep = id").select(F.col("rep").alias("v"), "copies"))
+    pairs = cut_lineage(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    links = cut_lineage(pairs.union(pairs.select("v", "u")))
+    near = links.join(copies, "v").groupBy("u").agg(F.min("v").alias("h"), F.sum("copies").alias("others"))
+    label = copies.withColumnRenamed("v", "u").join(near, "u", "left").where("h is not null or copies > 1")
+    label = label.select("u", F.least("u", "h").alias("g"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"))
     label = cut_lineage(label)
     for _ in range(rounds):
         best = links.join(label.select(F.col("u").alias("v"), F.col("g").alias("h")), "v").groupBy("u").agg(F.min("h").alias("h"))
-        step = label.join(best, "u").select("u", "links", F.col("g").alias("old"), F.least("g", "h").alias("g"))
+        step = label.join(best, "u", "left").select("u", "links", F.col("g").alias("old"), F.least("g", "h").alias("g"))
         up = label.select(F.col("u").alias("g"), F.col("g").alias("root"))
-        step = step.join(up, "g").select("u", F.least("g", "root").alias("g"), "links", "old")
-        step = cut_lineage(step)
+        step = cut_lineage(step.join(up, "g", "left").select("u", F.least("g", "root").alias("g"), "links", "old"))
         changed = step.where("g <> old").limit(1).count()
         label = step.drop("old")
         if not changed:
-            return label.select(F.col("u").alias("id"), F.col("g").alias("group_id"), "links")
+            return member.join(label.withColumnRenamed("u", "rep"), "rep").select("id", F.col("g").alias("group_id"), "links")
     raise RuntimeError(f"groups did not settle in {rounds} rounds")

@@ -20,17 +20,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return named[0].unionByName(named[1])
 
 
-def _furniture(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "scanned_pages")
-    return boilerplate.furniture_lines(pages, boilerplate.fit_on(pages))
-
-
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _furniture(spark, d).select("page_id", "line_no")
+    pages = table(spark, d, "scanned_pages")
+    return boilerplate.furniture_lines(pages, boilerplate.fit_on(pages)).select("page_id", "line_no")
 
 
 def p2_main_text(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.main_text(table(spark, d, "scanned_pages"), _furniture(spark, d))
+    pages = table(spark, d, "scanned_pages")
+    return boilerplate.main_text(pages, boilerplate.fit_on(pages))
 
 
 def _counted(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +48,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.similar_groups(neardup.similar_pairs(table(spark, d, "scanned_pages"))).withColumnRenamed("id", "page_id")
+    return neardup.similar_groups(*neardup.representative_pairs(table(spark, d, "scanned_pages"))).withColumnRenamed("id", "page_id")
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:

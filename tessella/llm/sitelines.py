@@ -29,6 +29,7 @@ WINDOW = 8
 CUT_MASK = 0x1F
 MIN_ROWS, MIN_SHARE = 5, 0.1
 BROADCAST_ROWS = 1_000_000
+BROADCAST_CHARS = 50_000_000
 _DIGITS = re.compile(r"\d+")
 _B = 0x100000001B3
 _slice = 500
@@ -138,7 +139,10 @@ def without_lines(pages: DataFrame, repeated: DataFrame) -> DataFrame:
     The keys of a site are one array: a page's site can have at most lines per page / ``MIN_SHARE`` of
     them, however many pages it has. Pages without address are kept whole.
     """
-    keys = repeated.groupBy("site").agg(F.collect_set("line_key").alias("keys"))
+    keys = cut_lineage(repeated.groupBy("site").agg(F.collect_set("line_key").alias("keys")))
+    size = keys.agg(F.sum(F.aggregate("keys", F.lit(0), lambda a, k: a + F.length(k)))).first()[0] or 0
+    if size <= BROADCAST_CHARS:  # else the join is shuffled, and a hot site's pages are split by AQE
+        keys = F.broadcast(keys)
     src = pages.select("page_id", "page_text", site_of(F.col("page_url")).alias("site")).join(keys, "site", "left")
     lines = F.split("page_text", "\n", -1)
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("keys", line_key_col(x)), F.lit(False)))

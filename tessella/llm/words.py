@@ -56,6 +56,19 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(mix(out))
 
 
+_HYPHEN_END = re.compile(r"[-‐‑]\s*\n\s*")
+
+
+def rejoined(text: str) -> str:
+    """The text with words joined that a hyphen at a line end broke (letters on both sides)."""
+
+    def join(m: re.Match) -> str:
+        a, z = m.span()
+        return "" if a and z < len(text) and text[a - 1].isalpha() and text[z].isalpha() else m.group()
+
+    return _HYPHEN_END.sub(join, text) if "\n" in text else text
+
+
 def visible(text: str) -> str:
     """NFKC without invisible characters."""
     if not text.isascii():
