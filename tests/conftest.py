@@ -27,8 +27,8 @@ def small():
 
 
 def rows(df):
-    """Sorted tuples."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)
+    """Sorted tuples, nulls first."""
+    return sorted((tuple(r) for r in df.collect()), key=lambda t: [(x is not None, x) for x in t])
 
 
 @pytest.fixture(scope="session")
