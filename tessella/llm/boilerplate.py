@@ -195,6 +195,10 @@ def weak_labels(pages: list[dict]) -> list[np.ndarray]:
                 y[i] = 1
             elif open_before and not blank:
                 y[i], open_now = 0, not _ENDED.search(s)
+            elif not goes_on and n <= 16 and k not in subheads and k not in titles and items[k] * 3 < total[k] and (often or v[19]):
+                y[i] = 1
+            elif not goes_on and n <= 14 and not v[13] and FURNITURE.search(_QUOTED.sub("", s)):
+                y[i] = 1
             elif prose:
                 y[i], open_now = 0, not _ENDED.search(s)
             elif items[k] * 3 >= total[k] > 0 and n >= 2 and not FURNITURE.search(s):
@@ -203,9 +207,7 @@ def weak_labels(pages: list[dict]) -> list[np.ndarray]:
                 y[i] = 0 if v[26] else -1
             elif k in titles:
                 y[i] = -1 if v[25] else 1
-            elif often and n <= 16 or v[17] or v[19] or v[18]:
-                y[i] = 1
-            elif n <= 14 and FURNITURE.search(_QUOTED.sub("", s)):
+            elif v[17] or v[18]:
                 y[i] = 1
             elif n >= 6 and _ENDED.search(s):
                 y[i] = 0

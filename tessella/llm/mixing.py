@@ -70,6 +70,7 @@ def quotas(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None
     if total_tokens is None:
         share = can["target_share"] / can["target_share"].sum()
         total_tokens = int((can["max_repeats"] * can["tokens"] / share).min()) if len(can) else 0
+    total_tokens = min(total_tokens, int((can["max_repeats"] * can["tokens"]).sum()))
     block = max(1, total_tokens // BLOCKS)
     caps = (goal["max_repeats"].astype("int64") * goal["tokens"] // block).tolist()
     goal["quota"] = [q * block for q in sainte_lague(goal["target_share"].tolist(), caps, total_tokens // block)]

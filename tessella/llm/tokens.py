@@ -62,7 +62,7 @@ def cut_text(text: str, size: int, tokenizer: str = OWN) -> list[str]:
     """Parts of about ``size`` characters whose token counts sum to that of the whole."""
     parts, start = [], 0
     while len(text) - start > size:
-        m = _SAFE.search(text, start + size - 1)
+        m = _SAFE.search(text, start + max(size, 2) - 1)  # beyond start, so every part has characters
         if not m:
             break
         end = m.end() if tokenizer == OWN else m.start()
