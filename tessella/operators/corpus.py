@@ -83,11 +83,16 @@ def describe(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe_all(measured: DataFrame, columns: tuple[str, ...] = ("chars", "tokens", "chunks")) -> DataFrame:
-    out = None
-    for c in columns:
-        one = describe(measured, c).select(F.lit(c).alias("measure"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """``describe`` of several columns in one pass, one row each."""
+    q = F.array(*map(F.lit, QUANTILES))
+    parts = [
+        F.struct(F.count(c).alias("n"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).alias("mean"), F.percentile(c, q).alias("q")).alias(c)
+        for c in columns
+    ]
+    row = measured.agg(*parts).select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("d")) for c in columns])).alias("x"))
+    names = [f"p{round(x * 100)}" for x in QUANTILES]
+    d = F.col("x.d")
+    return row.where(d["n"] > 0).select("x.measure", *[d[c].alias(c) for c in ("n", "min", "max")], F.round(d["mean"], 6).alias("mean"), *[F.round(d["q"][i], 6).alias(x) for i, x in enumerate(names)])
 
 
 def vocabulary(unique: DataFrame) -> DataFrame:
