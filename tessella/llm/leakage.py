@@ -27,6 +27,8 @@ from tessella.llm.words import WORDS, rejoined, visible, word_hashes
 from tessella.session import cut_lineage, spread
 
 MAX_TERMS = 2_000_000
+# Words and places that are worked on at a time in a task; they bound memory, not the result.
+BATCH_WORDS, PLACES = 200_000, 200_000
 
 
 def item_words(text: str | None) -> list[str]:
@@ -42,8 +44,8 @@ def variants(text: str | None) -> list[list[str]]:
     return [WORDS.findall(text)] + ([WORDS.findall(joined)] if joined != text else [])
 
 
-def phrases(items: DataFrame, n: int = 8, step: int = 1) -> pd.DataFrame:
-    """(item_id, phrase, term, off): the different n-word runs of the items' texts, one at every ``step`` words, on the driver."""
+def phrases(items: DataFrame, n: int = 8) -> pd.DataFrame:
+    """(item_id, phrase, term, off): all different n-word runs of the items' texts, on the driver."""
     out, number, total = [], 0, 0
     for row in items.select("item_id", "question", "answer_ref", "refs").toLocalIterator():
         seen = set()
@@ -52,7 +54,7 @@ def phrases(items: DataFrame, n: int = 8, step: int = 1) -> pd.DataFrame:
             total += len(h)
             if total > MAX_TERMS:
                 raise ValueError("the evaluation set is too large for one block; split it by item")
-            for i in range(0, len(h) - n + 1, step):
+            for i in range(len(h) - n + 1):
                 run = tuple(h[i : i + n].tolist())
                 if run not in seen:
                     seen.add(run)
@@ -106,22 +108,31 @@ def postings(docs: DataFrame, vocabulary, anchors) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "term bigint, doc_id bigint, variant int, pos int")
 
 
-def _index(docs: DataFrame, items: DataFrame, n: int, per_phrase: int = 1, step: int = 1):
-    """Postings, phrase terms and anchors (the ``per_phrase`` rarest terms) as DataFrames; None if no item has a phrase."""
-    spark = docs.sparkSession
-    runs = phrases(items, n, step)
+def _anchored(docs: DataFrame, items: DataFrame, n: int, per_phrase: int = 1):
+    """The documents spread, the vocabulary, the phrase terms and the anchors (the ``per_phrase`` rarest terms) on the driver; None if no item has a phrase."""
+    runs = phrases(items, n)
     if not len(runs):
         return None
     docs = spread(docs.select("doc_id", "text"))
-    vocabulary = _vocabulary(spark, runs["term"].to_numpy())
+    vocabulary = _vocabulary(docs.sparkSession, runs["term"].to_numpy())
     df = document_frequency(docs, vocabulary).toPandas()  # at most one row per evaluation term
     runs["df"] = runs["term"].map(dict(zip(df["term"], df["df"], strict=True))).fillna(0)
     # A word joined at a line end may have no count, so a term of frequency 0 is an anchor like any other.
     anchor = runs.sort_values(["phrase", "df", "off"]).drop_duplicates(["phrase", "term"]).groupby("phrase").head(per_phrase)
-    anchor = anchor[["item_id", "phrase", "term", "off"]]
+    columns = ["item_id", "phrase", "term", "off"]
+    return docs, vocabulary, runs[columns], anchor[columns]
+
+
+def _index(docs: DataFrame, items: DataFrame, n: int):
+    """Postings, phrase terms and anchors as DataFrames; None if no item has a phrase."""
+    found = _anchored(docs, items, n)
+    if found is None:
+        return None
+    docs, vocabulary, runs, anchor = found
+    spark = docs.sparkSession
     posted = cut_lineage(postings(docs, vocabulary, _vocabulary(spark, anchor["term"].to_numpy())))
     schema = "item_id bigint, phrase bigint, term bigint, off int"
-    return posted, spark.createDataFrame(runs[["item_id", "phrase", "term", "off"]], schema), spark.createDataFrame(anchor, schema)
+    return posted, spark.createDataFrame(runs, schema), spark.createDataFrame(anchor, schema)
 
 
 def phrase_places(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
@@ -142,18 +153,96 @@ def leaked(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
     return phrase_places(docs, items, n).select("doc_id", "item_id").distinct()
 
 
+def _loose_runs(terms: np.ndarray, runs: pd.DataFrame, anchor: pd.DataFrame, n: int):
+    """(item, own, first, anchored): per run its item and its different terms as places in ``terms`` (-1 for repeats);
+    the runs anchored by term t are anchored[first[t] : first[t + 1]]."""
+    own = np.sort(np.searchsorted(terms, runs["term"].to_numpy()).astype(np.int32).reshape(-1, n), axis=1)
+    own[:, 1:][own[:, 1:] == own[:, :-1]] = -1
+    at = np.searchsorted(terms, anchor["term"].to_numpy())
+    anchored = anchor["phrase"].to_numpy()[np.argsort(at, kind="stable")].astype(np.int32)
+    return runs["item_id"].to_numpy()[::n], own, np.searchsorted(np.sort(at), np.arange(len(terms) + 1)), anchored
+
+
+def _loose_hits(term: np.ndarray, pos: np.ndarray, own: np.ndarray, first: np.ndarray, anchored: np.ndarray, n: int, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(posting, run, matched): runs with ``least`` terms or more within ``n`` words of the posting of one of their anchors.
+
+    ``term`` and ``pos`` are postings in order of position. A place is tried first on 64 bits that sum up its window, which
+    can only add terms, then on the positions themselves.
+    """
+    if not len(pos):
+        return
+    size = int(pos[-1]) + 1
+    window = np.zeros(size + 2 * n, dtype=np.uint64)
+    bits = np.uint64(1) << (term & 63).astype(np.uint64)
+    for k in range(2 * n + 1):
+        window[pos + k] |= bits
+    window = window[pos + n]
+    span = size + n + 1
+    key = np.sort(term.astype(np.int64) * span + pos)
+    count = first[term + 1] - first[term]
+    ends = np.cumsum(count)
+    a = 0
+    while a < len(pos):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + PLACES)))
+        c = count[a:b]
+        posting = np.repeat(np.arange(a, b), c)
+        run = anchored[np.arange(len(posting)) + np.repeat(first[term[a:b]] - (np.cumsum(c) - c), c)]
+        near = window[posting]
+        m = np.zeros(len(posting), dtype=np.int8)
+        for j in range(n):
+            t = own[run, j]
+            m += (t >= 0) & ((near >> (t & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+        posting, run = posting[m >= least], run[m >= least]
+        m = np.zeros(len(posting), dtype=np.int64)
+        for j in range(n):
+            t = own[run, j].astype(np.int64)
+            at = np.searchsorted(key, t * span + pos[posting] - n)
+            at[at == len(key)] = 0
+            m += (t >= 0) & (np.abs(key[at] - t * span - pos[posting]) <= n)
+        yield posting[m >= least], run[m >= least], m[m >= least]
+        a = b
+
+
 def near_matches(docs: DataFrame, items: DataFrame, n: int = 8, least: int = 6) -> DataFrame:
     """(doc_id, item_id, matched): places where at least ``least`` of a run's ``n`` terms stand within one window of 2n words.
 
     The window lies around a place of one of the run's n - least + 1 rarest terms, of which a match cannot lack all;
-    order and gaps are free. Runs begin at every n / 2 words of a text; neighbours share half their words.
+    order and gaps are free. All runs are broadcast, as large as the evaluation set, and a document's postings are
+    intersected in the task that reads it, so only matches are shuffled.
     """
-    index = _index(docs, items, n, n - least + 1, n // 2)
-    if index is None:
+    found = _anchored(docs, items, n, n - least + 1)
+    if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, matched bigint")
-    posted, terms, anchors = index
-    place = posted.join(anchors, "term").select("item_id", "phrase", "doc_id", "variant", F.col("pos").alias("at")).distinct()
-    want = place.join(terms.select("phrase", "term").distinct(), "phrase")
-    met = want.join(posted, ["doc_id", "variant", "term"]).where(F.abs(F.col("pos") - F.col("at")) <= n)
-    per = met.groupBy("doc_id", "item_id", "phrase", "variant", "at").agg(F.count_distinct("term").alias("m"))
-    return per.where(F.col("m") >= least).groupBy("doc_id", "item_id").agg(F.max("m").alias("matched"))
+    docs, vocabulary, runs, anchor = found
+    loose = docs.sparkSession.sparkContext.broadcast(_loose_runs(vocabulary.value, runs, anchor, n))
+
+    def matches(ids: list, hashes: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        item, own, first, anchored = loose.value
+        terms = vocabulary.value
+        size = np.array([len(h) for h in hashes])
+        h = np.concatenate(hashes)
+        pos = np.flatnonzero(_has(terms, h))
+        number = np.repeat(np.arange(len(ids)), size)[pos]
+        term = np.searchsorted(terms, h[pos])
+        for posting, run, m in _loose_hits(term, pos + number * (n + 1), own, first, anchored, n, least):  # no window reaches into the next text
+            if len(m):
+                out = pd.DataFrame({"doc": number[posting], "item_id": item[run], "matched": m})
+                out = out.groupby(["doc", "item_id"], as_index=False)["matched"].max()
+                yield out.assign(doc_id=[ids[i] for i in out["doc"]])[["doc_id", "item_id", "matched"]]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            ids, hashes, total = [], [], 0
+            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+                for words in variants(t):
+                    ids.append(d)
+                    hashes.append(word_hashes(words))
+                    total += len(words)
+                if total > BATCH_WORDS:
+                    yield from matches(ids, hashes)
+                    ids, hashes, total = [], [], 0
+            if total:
+                yield from matches(ids, hashes)
+
+    per = docs.mapInPandas(run, "doc_id bigint, item_id bigint, matched bigint")
+    return per.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
