@@ -1,3 +1,4 @@
+import inspect
 import random
 import re
 
@@ -34,6 +35,16 @@ def test_sketches_within_radius_share_a_bucket():
     assert (x == y).any(axis=1).all()
 
 
+def test_pairs_next_to_the_threshold_share_a_bucket():
+    groups = inspect.signature(neardup.similar_pairs).parameters["groups"].default
+    assert groups == inspect.signature(neardup.representative_pairs).parameters["groups"].default
+    r = np.random.default_rng(5)
+    a = r.integers(0, 256, (10_000, groups * neardup.WIDTH), dtype=np.uint8)
+    b = np.where(r.random(a.shape) < 0.6, a, a + np.uint8(1))
+    found = (neardup.bucket_keys(a, groups) == neardup.bucket_keys(b, groups)).any(axis=1)
+    assert found.mean() > 0.985
+
+
 def corpus(seed=3):
     r = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
