@@ -71,7 +71,7 @@ def corpus_report(docs: DataFrame, records: DataFrame | None = None, terms: Data
         "top_duplicate_groups": rows(corpus.duplicate_groups(clean)),
         "errors": errors.count(),
         "error_samples": rows(errors.orderBy("doc_id").limit(ERROR_SAMPLES)),
-        "classification_summary": rows(corpus.classification_summary(taken, tuple(present)).orderBy("field", F.desc("total"), "value").limit(200)) if present else [],
+        "classification_summary": rows(corpus.classification_summary(taken, tuple(present)).orderBy("field", F.desc("total"), "value")) if present else [],
     }
 
 

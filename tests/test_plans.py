@@ -16,6 +16,12 @@ def test_report_and_command(spark, small, tmp_path):
     assert spark.read.parquet(str(tmp_path / "texts")).count() == out["unique"]
 
 
+def test_report_names_every_source(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}", "en", f"s{i}") for i in range(230)], "doc_id long, text string, lang string, source string")
+    got = report.corpus_report(docs)["classification_summary"]
+    assert {r["value"] for r in got if r["field"] == "source"} == {f"s{i}" for i in range(230)}
+
+
 def test_report_of_nothing(spark):
     out = report.corpus_report(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert out["unique"] == 0 and out["length_stats"] == {} and out["tfidf_top_features"] == []
