@@ -130,9 +130,9 @@ def record_tokens(records: DataFrame, documents: DataFrame, pages: DataFrame, to
 
 
 def unreliable_counts(counted: DataFrame) -> DataFrame:
-    """Records whose stored count is null or off by more than a tenth of the exact count."""
+    """Records whose stored count is null, with or without a text, or off by more than a tenth of the exact count."""
     off = F.abs(F.col("tokens") - F.col("n_tokens")) * 10 > F.col("n_tokens")
-    return counted.where(F.col("n_tokens").isNotNull() & (F.col("tokens").isNull() | off)).select("record_id").distinct()
+    return counted.where(F.col("tokens").isNull() | off).select("record_id").distinct()
 
 
 def language_slice(c: Column) -> Column:

@@ -63,6 +63,11 @@ def test_records(spark, as_rows):
     assert totals["documents", "*", "*"] == (3, 6) and totals["scanned_pages", "en", "h.example"] == (2, 4)
 
 
+def test_null_count_without_text_is_unreliable(spark, as_rows):
+    counted = spark.createDataFrame([(1, None, None), (2, 5, None), (3, None, 4), (4, 4, 4)], "record_id long, tokens long, n_tokens long")
+    assert as_rows(tokens.unreliable_counts(counted)) == [(1,), (3,)]
+
+
 def test_empty(spark):
     counted = tokens.record_tokens(*[x.limit(0) for x in made(spark)])
     assert counted.count() == 0 and tokens.unreliable_counts(counted).count() == 0
