@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,13 +46,43 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's checkpoint folder, else ``spark.checkpoint.dir``.
+
+    A local session without either gets a temporary folder. A cluster must name one: a folder of the driver's
+    machine would be lost on the executors, so its absence is an error.
+    """
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if not known.isEmpty():
+        return known.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tessella-")
+    sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+    """``df`` as a table written to the shared folder and read again, so a lost executor costs no recomputation.
 
-    Only where that setting is absent (tests) a temporary folder is set.
+    Columns are pruned and compressed as in any table. ``release`` deletes a table that is superseded.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables behind frames of ``cut_lineage`` that no later plan reads; other frames are passed over."""
+    for df in frames:
+        path = getattr(df, "_written", None)
+        if path:
+            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+            df._written = None
