@@ -47,8 +47,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("page_id_a"), F.col("b").alias("page_id_b")).distinct()
 
 
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs between different texts; ``p4_members`` has the pages of each text."""
+    found = neardup.representative_pairs(table(spark, d, "scanned_pages"))[0]
+    return found.select(F.least("a", "b").alias("rep_a"), F.greatest("a", "b").alias("rep_b"), F.round("similarity", 6).alias("similarity"))
+
+
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.representative_pairs(table(spark, d, "scanned_pages"))[1].withColumnRenamed("id", "page_id")
+
+
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.similar_groups(*neardup.representative_pairs(table(spark, d, "scanned_pages"))).withColumnRenamed("id", "page_id")
+    return neardup.page_groups(table(spark, d, "scanned_pages")).withColumnRenamed("id", "page_id")
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +122,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = [
-        p1_found, p2_found, p2_main_text, p3_found, p3_totals, p4_found, p4_groups, p5_found, p5_passages, p6_found, p6_cleaned, p7_found, p7_near, p8_selection, p8_shares, p9_found, p9_scores, p9_rates,
+        p1_found, p2_found, p2_main_text, p3_found, p3_totals, p4_found, p4_pairs, p4_members, p4_groups, p5_found, p5_passages, p6_found, p6_cleaned, p7_found, p7_near, p8_selection, p8_shares, p9_found, p9_scores, p9_rates,
     ]
     return {f.__name__: f for f in named}
 

@@ -18,19 +18,18 @@ def similarity(a, b):
 
 def test_code_covers_every_radius():
     m = neardup.masks()
-    assert m.sum(axis=1).min() >= 6
-    for i in range(12):
-        for j in range(12):
-            for k in range(12):  # any three differing positions leave some mask whole
-                assert (~m[:, [i, j, k]].any(axis=1)).any()
+    assert m.sum(axis=1).min() >= 5
+    for i in range(neardup.WIDTH):
+        for j in range(neardup.WIDTH):  # any two differing positions leave some mask whole
+            assert (~m[:, [i, j]].any(axis=1)).any()
 
 
 def test_sketches_within_radius_share_a_bucket():
     r = np.random.default_rng(0)
-    a = r.integers(0, 2**32, (200, 12), dtype=np.uint32)
+    a = r.integers(0, 2**32, (200, neardup.WIDTH), dtype=np.uint32)
     b = a.copy()
     for row in b:
-        row[r.choice(12, neardup.RADIUS, replace=False)] += 1
+        row[r.choice(neardup.WIDTH, neardup.RADIUS, replace=False)] += 1
     x, y = neardup.bucket_keys(a, 1), neardup.bucket_keys(b, 1)
     assert (x == y).any(axis=1).all()
 
@@ -75,22 +74,41 @@ def test_recall_against_brute_force(spark):
 def test_groups_join_copies_without_pairing_them(spark):
     text = " ".join(f"w{i}" for i in range(80))
     near = text + " extra words here"
-    rows = [(i, text) for i in range(300)] + [(500, near), (501, "something else entirely here"), (502, None)]
+    rows = [(i, text) for i in range(300)] + [(500, near), (501, "something else entirely here"), (502, None), (503, "")]
     df = spark.createDataFrame(rows, "page_id long, page_text string")
     found, member = neardup.representative_pairs(df)
-    assert found.count() == 1
-    got = {r.id: (r.group_id, r.links) for r in neardup.similar_groups(found, member).collect()}
-    assert len(got) == 301 and set(got.values()) == {(0, 300)}
+    assert found.count() == 1 and member.count() == 302
+    got = {r.id: (r.group_id, r.copies) for r in neardup.page_groups(df).collect()}
+    assert got == {i: (0, 300) for i in range(300)} | {500: (0, 1), 501: (501, 1), 502: (502, 1), 503: (503, 1)}
+
+
+def test_groups_equal_components_of_all_pairs(spark, monkeypatch):
+    texts = corpus(8)
+    template = [f"t{i}" for i in range(100)]
+    r = random.Random(1)
+    for i in range(60):  # one template, filled in differently: hot buckets
+        t = list(template)
+        for k in r.sample(range(100), 3):
+            t[k] = f"own{i}x{k}"
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id long, page_text string")
+    pairs = [(x.a, x.b) for x in neardup.similar_pairs(df).collect()]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    monkeypatch.setattr(neardup._blocked, "__defaults__", (8,))  # blocks of hot buckets
+    assert {x.id: x.group_id for x in neardup.page_groups(df).collect()} == dict(enumerate(root))
+    assert sorted((x.a, x.b) for x in neardup.similar_pairs(df).collect()) == sorted(pairs)
 
 
 def test_long_chain_settles(spark):
-    member = spark.createDataFrame([(i, i, 1) for i in range(60)], "rep long, id long, copies long")
-    found = spark.createDataFrame([(i, i + 1, 0.7) for i in range(59)], "a long, b long, similarity double")
-    got = neardup.similar_groups(found, member).collect()
-    assert len(got) == 60 and {r.group_id for r in got} == {0}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(80)], "a long, b long")
+    got = neardup.components(edges).collect()
+    assert len(got) == 81 and {r.g for r in got} == {0}
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, page_text string")
     assert neardup.similar_pairs(df).count() == 0
-    assert neardup.similar_groups(*neardup.representative_pairs(df)).count() == 0
+    assert neardup.page_groups(df).count() == 0
