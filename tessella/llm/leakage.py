@@ -10,8 +10,8 @@ Words are compared after NFKC and without case, punctuation, spacing and invisib
 at a line end is read both ways, as one word (variant 1) and as two (variant 0).
 Null or empty texts hold nothing; items of fewer than ``n`` words cannot leak; repeated items each count.
 
-The items are the held-out set: their words are collected to the driver and broadcast after a check of
-their number (``MAX_TERMS``); larger sets are refused and must be split into blocks.
+The items are the held-out set. Their runs pass through the driver in blocks of ``BLOCK_RUNS``, each broadcast by itself
+and held against all documents, so any number of items, and items of any length, give the same result.
 """
 
 from __future__ import annotations
@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.words import WORDS, rejoined, visible, word_hashes
 from tessella.session import cut_lineage, spread
 
-MAX_TERMS = 2_000_000
+BLOCK_RUNS = 250_000
 # Words and places that are worked on at a time in a task; they bound memory, not the result.
 BATCH_WORDS, PLACES = 200_000, 200_000
 
@@ -44,23 +45,34 @@ def variants(text: str | None) -> list[list[str]]:
     return [WORDS.findall(text)] + ([WORDS.findall(joined)] if joined != text else [])
 
 
-def phrases(items: DataFrame, n: int = 8) -> pd.DataFrame:
-    """(item_id, phrase, term, off): all different n-word runs of the items' texts, on the driver."""
-    out, number, total = [], 0, 0
+def phrases(items: DataFrame, n: int = 8, most: int | None = None) -> Iterator[pd.DataFrame]:
+    """(item_id, phrase, term, off): the different n-word runs of the items' texts, in blocks of at most ``most`` runs.
+
+    ``phrase`` numbers the runs through all blocks.
+    """
+    most = most or BLOCK_RUNS
+    ids, runs, held, number = [], [], 0, 0
+
+    def block() -> pd.DataFrame:
+        m = np.concatenate(runs)
+        phrase = np.arange(number, number + len(m))
+        return pd.DataFrame({"item_id": np.repeat(np.concatenate(ids), n), "phrase": np.repeat(phrase, n), "term": m.ravel(), "off": np.tile(np.arange(n, dtype=np.int32), len(m))})
+
     for row in items.select("item_id", "question", "answer_ref", "refs").toLocalIterator():
-        seen = set()
-        for text in [row["question"], row["answer_ref"], *(row["refs"] or [])]:
-            h = word_hashes(item_words(text))
-            total += len(h)
-            if total > MAX_TERMS:
-                raise ValueError("the evaluation set is too large for one block; split it by item")
-            for i in range(len(h) - n + 1):
-                run = tuple(h[i : i + n].tolist())
-                if run not in seen:
-                    seen.add(run)
-                    out += [(row["item_id"], number, t, k) for k, t in enumerate(run)]
-                    number += 1
-    return pd.DataFrame(out, columns=["item_id", "phrase", "term", "off"])
+        hashed = [word_hashes(item_words(t)) for t in (row["question"], row["answer_ref"], *(row["refs"] or []))]
+        own = [np.lib.stride_tricks.sliding_window_view(h, n) for h in hashed if len(h) >= n]
+        own = np.unique(np.concatenate(own), axis=0) if own else np.empty((0, n), dtype=np.int64)
+        while len(own):
+            part, own = own[: most - held], own[most - held :]
+            ids.append(np.full(len(part), row["item_id"]))
+            runs.append(part)
+            held += len(part)
+            if held == most:
+                yield block()
+                number += held
+                ids, runs, held = [], [], 0
+    if held:
+        yield block()
 
 
 def _vocabulary(spark, terms: np.ndarray):
@@ -108,39 +120,23 @@ def postings(docs: DataFrame, vocabulary, anchors) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "term bigint, doc_id bigint, variant int, pos int")
 
 
-def _anchored(docs: DataFrame, items: DataFrame, n: int, per_phrase: int = 1):
-    """The documents spread, the vocabulary, the phrase terms and the anchors (the ``per_phrase`` rarest terms) on the driver; None if no item has a phrase."""
-    runs = phrases(items, n)
-    if not len(runs):
-        return None
-    docs = spread(docs.select("doc_id", "text"))
+def _anchored(docs: DataFrame, runs: pd.DataFrame, per_phrase: int = 1):
+    """The vocabulary and the anchors (the ``per_phrase`` rarest terms) of a block of runs."""
     vocabulary = _vocabulary(docs.sparkSession, runs["term"].to_numpy())
-    df = document_frequency(docs, vocabulary).toPandas()  # at most one row per evaluation term
+    df = document_frequency(docs, vocabulary).toPandas()  # at most one row per evaluation term of the block
     runs["df"] = runs["term"].map(dict(zip(df["term"], df["df"], strict=True))).fillna(0)
     # A word joined at a line end may have no count, so a term of frequency 0 is an anchor like any other.
     anchor = runs.sort_values(["phrase", "df", "off"]).drop_duplicates(["phrase", "term"]).groupby("phrase").head(per_phrase)
     columns = ["item_id", "phrase", "term", "off"]
-    return docs, vocabulary, runs[columns], anchor[columns]
+    return vocabulary, anchor[columns]
 
 
-def _index(docs: DataFrame, items: DataFrame, n: int):
-    """Postings, phrase terms and anchors as DataFrames; None if no item has a phrase."""
-    found = _anchored(docs, items, n)
-    if found is None:
-        return None
-    docs, vocabulary, runs, anchor = found
+def _block_places(docs: DataFrame, runs: pd.DataFrame, n: int) -> DataFrame:
     spark = docs.sparkSession
+    vocabulary, anchor = _anchored(docs, runs)
     posted = cut_lineage(postings(docs, vocabulary, _vocabulary(spark, anchor["term"].to_numpy())))
-    schema = "item_id bigint, phrase bigint, term bigint, off int"
-    return posted, spark.createDataFrame(runs, schema), spark.createDataFrame(anchor, schema)
-
-
-def phrase_places(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
-    """(doc_id, item_id, phrase, variant, start): every place where an n-word run of an item stands."""
-    index = _index(docs, items, n)
-    if index is None:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, phrase bigint, variant int, start int")
-    posted, terms, anchors = index
+    columns = ["item_id", "phrase", "term", "off"]
+    terms, anchors = (spark.createDataFrame(pa.Table.from_pandas(x[columns], preserve_index=False)) for x in (runs, anchor))
     place = posted.join(anchors, "term").select("item_id", "phrase", "doc_id", "variant", (F.col("pos") - F.col("off")).alias("start"))
     want = place.where("start >= 0").join(terms.select("phrase", "term", "off"), "phrase")
     want = want.withColumn("pos", F.col("start") + F.col("off"))
@@ -149,6 +145,20 @@ def phrase_places(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
     return met.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n).select(*same)
 
 
+def _over_blocks(docs: DataFrame, items: DataFrame, n: int, work, schema: str) -> DataFrame:
+    """Union of ``work(docs, runs, n)`` over the blocks of runs."""
+    docs, found = spread(docs.select("doc_id", "text")), None
+    for runs in phrases(items, n):
+        part = work(docs, runs, n)
+        found = part if found is None else found.unionByName(part)
+    return docs.sparkSession.createDataFrame([], schema) if found is None else found
+
+
+def phrase_places(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
+    """(doc_id, item_id, phrase, variant, start): every place where an n-word run of an item stands."""
+    return _over_blocks(docs, items, n, _block_places, "doc_id bigint, item_id bigint, phrase bigint, variant int, start int")
+
+
 def leaked(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
     return phrase_places(docs, items, n).select("doc_id", "item_id").distinct()
 
@@ -159,7 +169,7 @@ def _loose_runs(terms: np.ndarray, runs: pd.DataFrame, anchor: pd.DataFrame, n:
     own = np.sort(np.searchsorted(terms, runs["term"].to_numpy()).astype(np.int32).reshape(-1, n), axis=1)
     own[:, 1:][own[:, 1:] == own[:, :-1]] = -1
     at = np.searchsorted(terms, anchor["term"].to_numpy())
-    anchored = anchor["phrase"].to_numpy()[np.argsort(at, kind="stable")].astype(np.int32)
+    anchored = (anchor["phrase"].to_numpy() - anchor["phrase"].min())[np.argsort(at, kind="stable")].astype(np.int32)
     return runs["item_id"].to_numpy()[::n], own, np.searchsorted(np.sort(at), np.arange(len(terms) + 1)), anchored
 
 
@@ -207,13 +217,15 @@ def near_matches(docs: DataFrame, items: DataFrame, n: int = 8, least: int = 6)
     """(doc_id, item_id, matched): places where at least ``least`` of a run's ``n`` terms stand within one window of 2n words.
 
     The window lies around a place of one of the run's n - least + 1 rarest terms, of which a match cannot lack all;
-    order and gaps are free. All runs are broadcast, as large as the evaluation set, and a document's postings are
+    order and gaps are free. A block's runs are broadcast, and a document's postings are
     intersected in the task that reads it, so only matches are shuffled.
     """
-    found = _anchored(docs, items, n, n - least + 1)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, matched bigint")
-    docs, vocabulary, runs, anchor = found
+    near = _over_blocks(docs, items, n, lambda d, runs, n: _block_near(d, runs, n, least), "doc_id bigint, item_id bigint, matched bigint")
+    return near.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
+
+
+def _block_near(docs: DataFrame, runs: pd.DataFrame, n: int, least: int) -> DataFrame:
+    vocabulary, anchor = _anchored(docs, runs, n - least + 1)
     loose = docs.sparkSession.sparkContext.broadcast(_loose_runs(vocabulary.value, runs, anchor, n))
 
     def matches(ids: list, hashes: list[np.ndarray]) -> Iterator[pd.DataFrame]:
@@ -244,5 +256,4 @@ def near_matches(docs: DataFrame, items: DataFrame, n: int = 8, least: int = 6)
             if total:
                 yield from matches(ids, hashes)
 
-    per = docs.mapInPandas(run, "doc_id bigint, item_id bigint, matched bigint")
-    return per.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
+    return docs.mapInPandas(run, "doc_id bigint, item_id bigint, matched bigint")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import abuse, boilerplate, langid, leakage, mixing, neardup, pairs, sitelines, tokens
+from tessella.plans.oracles import TOKEN, clean
 from tessella.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,8 +31,8 @@ def p2_main_text(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.main_text(pages, boilerplate.fit_on(pages))
 
 
-def _counted(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.record_tokens(table(spark, d, "document_records"), table(spark, d, "documents"), table(spark, d, "scanned_pages"))
+def _counted(spark: SparkSession, d: str, tokenizer: str = tokens.OWN) -> DataFrame:
+    return tokens.record_tokens(table(spark, d, "document_records"), table(spark, d, "documents"), table(spark, d, "scanned_pages"), tokenizer)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +40,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals in tokens of a public byte-level BPE."""
+    return tokens.token_totals(_counted(spark, d, f"bpe:{tokens.bpe_path()}"))
+
+
+def p3_own_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals in the project's own tokens."""
     return tokens.token_totals(_counted(spark, d))
 
 
@@ -122,23 +129,69 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = [
-        p1_found, p2_found, p2_main_text, p3_found, p3_totals, p4_found, p4_pairs, p4_members, p4_groups, p5_found, p5_passages, p6_found, p6_cleaned, p7_found, p7_near, p8_selection, p8_shares, p9_found, p9_scores, p9_rates,
+        p1_found, p2_found, p2_main_text, p3_found, p3_totals, p3_own_totals, p4_found, p4_pairs, p4_members, p4_groups, p5_found, p5_passages, p6_found, p6_cleaned, p7_found, p7_near, p8_selection, p8_shares, p9_found, p9_scores, p9_rates,
     ]
     return {f.__name__: f for f in named}
 
 
 LINE_KEY = r"lower(regexp_replace(trim(regexp_replace(line, '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g')), '\p{Nd}+', '0', 'g'))"
-SITE = r"regexp_replace(regexp_extract(lower(trim(page_url)), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#\s]+)', 1), '^www\.', '')"
-TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_\-]*[\p{L}\p{N}_]"
+SITE = r"nullif(regexp_replace(regexp_extract(lower(trim(page_url)), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#\s]+)', 1), '^www\.', ''), '')"
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+INVISIBLE = r"[\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
+
+
+def _words(c: str) -> str:
+    """Word list as the operators see it. DuckDB has no NFKC; in these tables it changes the no-break space and, on pages, the number sign."""
+    return rf"regexp_extract_all({c}, '[\p{{L}}\p{{N}}]+')"
+
+
+def _visible(c: str) -> str:
+    return f"lower(regexp_replace(replace({c}, chr(160), ' '), '{INVISIBLE}', '', 'g'))"
+
+
+def _grams(n: int) -> str:
+    return f"array_to_string(w[i:i + {n - 1}], ' ')"
+
+
+RECORDS = f"""d as (select source_path, source, len(regexp_extract_all(lower({clean('text')}), '{TOKEN}')) n from documents where source_path is not null),
+    p as (select pdf_file_name, clean_text_hash, max(len(regexp_extract_all(lower({clean("replace(page_text, '№', 'No')")}), '{TOKEN}'))) n, min({SITE}) site from scanned_pages where pdf_file_name is not null and clean_text_hash is not null group by 1, 2),
+    r as (select record_id, tokens, lower(coalesce(language, '')) language, coalesce(d.n, p.n) n, case when d.n is not null then 'documents' when p.n is not null then 'scanned_pages' end origin, coalesce(case when d.n is not null then d.source else p.site end, 'unknown') "domain"
+      from document_records x left join d using (source_path) left join p on d.n is null and p.pdf_file_name = string_split(x.source_path, '/')[-1] and p.clean_text_hash = x.content_hash)"""
+DOC_WORDS = rf"""v as (select doc_id, {_visible('text')} t from documents where text is not null),
+    j as (select doc_id, t, regexp_replace(t, '(\p{{L}})[-‐‑]{WHITE}*\n{WHITE}*(\p{{L}})', '\1\2', 'g') t2 from v),
+    dw as (select doc_id, 0 variant, {_words('t')} w from j union all select doc_id, 1, {_words('t2')} from j where t2 <> t)"""
+ITEM_WORDS = f"""x as (select item_id, unnest([question, answer_ref] || coalesce(refs, [])) t from eval_set_gold_manual),
+    iw as (select item_id, {_words(_visible('t'))} w from x where t is not null),
+    runs as (select distinct item_id, w[i:i + 7] run from (select item_id, w, unnest(range(1, len(w) - 6)) i from iw))"""
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL over whole tables, where SQL can say it."""
     return {
+        "p3_found": f"with {RECORDS} select distinct record_id from r where tokens is null or abs(tokens - n) * 10 > n",
+        "p3_own_totals": rf"""with {RECORDS}, b as (select regexp_extract(language, '([a-z]+)', 1) b, * from r where n is not null),
+            l as (select origin, "domain", n, case when b in ('', 'unknown', 'und') then 'unknown' else coalesce(map {{'rus': 'ru', 'eng': 'en', 'ukr': 'uk', 'deu': 'de', 'ger': 'de', 'fra': 'fr', 'fre': 'fr'}}[b], b) end lang from b)
+            select coalesce(origin, '*') origin, coalesce(lang, '*') lang, coalesce("domain", '*') "domain", count(*) records, sum(n)::bigint total_tokens from l
+            group by grouping sets ((origin, lang, "domain"), (origin), (lang), ("domain"), ())""",
+        "p4_found": f"""with w as (select page_id, {_words('lower(page_text)')} w from scanned_pages),
+            s as (select distinct page_id, {_grams(3)} g from (select page_id, w, unnest(range(1, len(w) - 1)) i from w)), n as (select page_id, count(*) n from s group by 1),
+            b as (select a.page_id page_id_a, b.page_id page_id_b, count(*) both_have from s a join s b on a.g = b.g and a.page_id < b.page_id group by 1, 2)
+            select page_id_a, page_id_b from b join n x on x.page_id = page_id_a join n y on y.page_id = page_id_b where both_have >= 0.6 * (x.n + y.n - both_have)""",
+        "p4_members": f"""with w as (select page_id, {_words('lower(page_text)')} w from scanned_pages where len({_words('lower(page_text)')}) > 2),
+            s as (select page_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: {_grams(3)}))) s from w)
+            select page_id, min(page_id) over (partition by s) rep, count(*) over (partition by s) copies from s""",
         "p6_found": f"""
             with l as (select page_id, {SITE} site, unnest(string_split(page_text, chr(10))) line from scanned_pages),
             k as (select distinct site, page_id, {LINE_KEY} line_key from l),
             s as (select {SITE} site, count(*) n from scanned_pages group by 1)
             select k.site, line_key from k join s on s.site = k.site where line_key <> ''
             group by k.site, line_key, n having count(*) >= 5 and count(*) * 10 >= n""",
+        "p7_found": f"""with {DOC_WORDS}, {ITEM_WORDS}, g as (select distinct doc_id, {_grams(8)} g from (select doc_id, w, unnest(range(1, len(w) - 6)) i from dw))
+            select distinct doc_id, item_id from g join (select item_id, array_to_string(run, ' ') g from runs) using (g)""",
+        "p7_near": f"""with {DOC_WORDS}, {ITEM_WORDS}, df as (select term, count(*) df from (select distinct doc_id, unnest(w) term from dw where variant = 0) group by 1),
+            u as (select run, unnest(run) term, unnest(range(8)) off from (select distinct run from runs)), m as (select run, term, min(off) off from u group by 1, 2),
+            a as (select run, term from m left join df using (term) qualify row_number() over (partition by run order by coalesce(df, 0), off) <= 3),
+            o as (select doc_id, w, unnest(w) term, unnest(range(1, len(w) + 1)) pos from dw where len(w) > 0),
+            h as (select doc_id, run, max(len(list_intersect(list_distinct(run), w[greatest(pos - 8, 1):pos + 8]))) matched from o join a using (term) group by 1, 2)
+            select doc_id, item_id, max(matched) matched from h join runs using (run) where matched >= 6 group by 1, 2""",
     }

@@ -1,14 +1,18 @@
 """Token budget: exact token counts of every record's text, rolled up by slice.
 
 Default tokenizer is the project's own pair: ``clean_text`` followed by the token pattern of
-``functions.text``. A public byte-level BPE can be named instead (``bpe:FILE``).
+``functions.text``. A public byte-level BPE can be named instead (``bpe:FILE``); its rank file is shipped to the workers.
 
-Oversized texts are cut only where both steps are independent of what lies on the other side:
-after a space or newline (ASCII) that follows a letter or digit and precedes an ASCII letter or
-digit. No token holds white space, NFKC never composes across an ASCII space, and the cleaning
-rules act on runs of white space of which a cut leaves each on one side. The byte-level BPE splits
-" word" pieces *before* a space, so there the space goes to the right part. Texts with no such
-place stay whole. Chunks of one text are spread over the workers by (id, chunk number).
+Oversized texts are cut only where the tokenizer is proven not to look across (``cut_text``), in any script:
+
+* own tokens: between a space, line end, punctuation mark or symbol and a letter or digit, where NFKC of the two
+  characters together is NFKC of each and makes no token character of the first. No token holds the first, the cleaning
+  rules act on runs of white space and never remove one between two tokens, and NFKC composes across no such place.
+* byte-level BPE: its split pattern has no look-behind, so any place where one of its matches must end will do: before a
+  single space between two other characters, and between a mark other than an apostrophe and a letter or digit.
+
+A text without such a place (one token, or one piece of the split) stays whole. Every text is read once: short ones are
+counted there, long ones leave as chunks, which are spread over the workers by (id, chunk number).
 
 Defined results: null text counts 0 tokens; a record without any text row has null tokens.
 """
@@ -18,9 +22,12 @@ from __future__ import annotations
 import base64
 import os
 import re
+import unicodedata
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,16 +39,32 @@ OWN = "own"
 CHUNK_CHARS = 65_536
 # Fixed value: the split pattern published with the rank files.
 BPE_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_SAFE = re.compile(r"(?<=[^\W_])[ \n](?=[A-Za-z0-9])")
+_OWN_PLACE = re.compile(r"(?<=[^\w\-])(?=[^\W_])")
+_BPE_PLACE = re.compile(r"(?<=\S)(?= \S)|(?<=[^\s\w'])(?=[^\W_])")
 _encoders: dict = {}
 
 
+def ship(spark: SparkSession, path: str) -> None:
+    """Send a file to every worker, once."""
+    if not any(f.rsplit("/", 1)[-1] == os.path.basename(path) for f in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(path)
+
+
+def _shipped(path: str) -> str:
+    """Where the worker has the file; the path itself outside Spark."""
+    try:
+        there = SparkFiles.get(os.path.basename(path))
+    except Exception:  # no session in this process
+        return path
+    return there if os.path.exists(there) else path
+
+
 def encoder(path: str):
     """Tokenizer of a rank file, loaded once per worker."""
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(_shipped(path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encoders[path] = tiktoken.Encoding("ranks", pat_str=BPE_SPLIT, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
@@ -58,40 +81,59 @@ def count_tokens(texts: list[str | None], tokenizer: str = OWN) -> list[int]:
     return [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
 
 
+@lru_cache(4_096)
+def _independent(before: str, after: str) -> bool:
+    """Nothing of the own tokenizer crosses from ``before`` to ``after``."""
+    x, y = (unicodedata.normalize("NFKC", c) for c in (before, after))
+    plain = before == "\n" or unicodedata.category(before)[0] in "PSZ" and not unicodedata.combining(before)
+    return plain and not any(c.isalnum() or c in "-_" for c in x) and y[0].isalnum() and unicodedata.normalize("NFKC", before + after) == x + y
+
+
+def _place(text: str, at: int, tokenizer: str) -> int | None:
+    """The first proven place at ``at`` or later."""
+    if tokenizer != OWN:
+        m = _BPE_PLACE.search(text, at)
+        return m.start() if m else None
+    return next((m.start() for m in _OWN_PLACE.finditer(text, at) if _independent(text[m.start() - 1], text[m.start()])), None)
+
+
 def cut_text(text: str, size: int, tokenizer: str = OWN) -> list[str]:
     """Parts of about ``size`` characters whose token counts sum to that of the whole."""
     parts, start = [], 0
     while len(text) - start > size:
-        m = _SAFE.search(text, start + max(size, 2) - 1)  # beyond start, so every part has characters
-        if not m:
+        end = _place(text, start + max(size, 1), tokenizer)
+        if end is None:
             break
-        end = m.end() if tokenizer == OWN else m.start()
         parts.append(text[start:end])
         start = end
     return [*parts, text[start:]]
 
 
+PARTS = T.ArrayType(T.StructType().add("n", T.LongType()).add("chunk", T.StringType()))
+
+
 def with_token_counts(df: DataFrame, key: str, text: str, tokenizer: str = OWN, size: int = CHUNK_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(``key``, ``keep`` columns, n_tokens) for every row of ``df``; ``key`` must be unique.
 
-    Texts up to ``size`` characters are counted where they are read, without a shuffle. Only longer
-    ones are cut, and only their chunks are shuffled.
+    Texts up to ``size`` characters are counted where they are read and leave as a number; longer ones leave as chunks.
     """
+    if tokenizer != OWN:
+        ship(df.sparkSession, tokenizer.removeprefix("bpe:"))
+
+    @F.pandas_udf(PARTS)
+    def read(s: pd.Series) -> pd.Series:
+        short = [t is None or len(t) <= size for t in s]
+        n = iter(count_tokens([t for t, k in zip(s, short, strict=True) if k], tokenizer))
+        return pd.Series([[{"n": next(n), "chunk": None}] if k else [{"n": None, "chunk": c} for c in cut_text(t, size, tokenizer)] for t, k in zip(s, short, strict=True)])
 
     @F.pandas_udf(T.LongType())
     def counted(s: pd.Series) -> pd.Series:
         return pd.Series(count_tokens(s.tolist(), tokenizer), dtype="int64")
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def parts(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: cut_text(t, size, tokenizer))
-
-    cols = [F.col(c) for c in dict.fromkeys([key, *keep])]
-    long = F.coalesce(F.length(text) > size, F.lit(False))
-    small = df.where(~long).select(*cols, counted(F.col(text)).alias("n_tokens"))
-    chunks = df.where(long).select(*cols, F.posexplode(parts(F.col(text))).alias("chunk_no", "chunk"))
-    chunks = chunks.repartition(F.col(key), F.col("chunk_no")).select(*cols, counted("chunk").alias("n"))
-    return small.unionByName(chunks.groupBy(*cols).agg(F.sum("n").alias("n_tokens")))
+    cols = list(dict.fromkeys([key, *keep]))
+    parts = df.select(*cols, F.posexplode(read(F.col(text))).alias("_no", "_p")).select(*cols, "_no", "_p.n", "_p.chunk")
+    parts = parts.repartition(F.col(key), F.col("_no")).withColumn("n", F.coalesce("n", F.lit(0)) + counted("chunk"))
+    return parts.groupBy(*cols).agg(F.sum("n").alias("n_tokens"))
 
 
 def site_of(url: Column) -> Column:

@@ -105,6 +105,17 @@ def test_near_against_brute_force(spark, as_rows):
     assert whole and whole <= set(as_rows(leakage.leaked(them, it))) and whole <= {(d, i) for d, i, _ in near}
 
 
+def test_blocks_change_nothing(spark, as_rows, monkeypatch):
+    it = items(spark, [(1, ITEM, [ITEM, "иной текст из девяти разных слов стоит тут рядом с ним"], None), (2, "x", None, ITEM)])
+    them = docs(spark, [ITEM, "иной текст из девяти разных слов стоит тут рядом с ним", "текст иной разных из девяти слов тут стоит"])
+    whole = as_rows(leakage.leaked(them, it)), as_rows(leakage.near_matches(them, it))
+    assert len(whole[0]) == 3 and len(whole[1]) == 4
+    monkeypatch.setattr(leakage, "BLOCK_RUNS", 3)
+    assert (as_rows(leakage.leaked(them, it)), as_rows(leakage.near_matches(them, it))) == whole
+    sizes = [(len(b) // 8, b["phrase"].min()) for b in leakage.phrases(it)]
+    assert sizes == [(3, 3 * i) for i in range(len(sizes) - 1)] + [(sizes[-1][0], 3 * (len(sizes) - 1))] and len(sizes) > 4
+
+
 def test_slices_of_places_change_nothing(monkeypatch):
     r = np.random.default_rng(2)
     runs = r.integers(0, 70, (40, 8))

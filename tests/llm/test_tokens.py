@@ -10,7 +10,7 @@ from tessella.llm import tokens
 
 BPE = f"bpe:{tokens.bpe_path()}"
 needs_bpe = pytest.mark.skipif(not os.path.exists(tokens.bpe_path()), reason="no vocabulary files")
-PARTS = st.lists(st.sampled_from(["слово", "word", "a-b", " ", "\n", "  ", "\n\n\n", "́", "\xa0", "½", "12", "x" * 30, ". ", "-\n", "＿", "\x07"]), max_size=60)
+PARTS = st.lists(st.sampled_from(["слово", "word", "a-b", " ", "\n", "  ", "\n\n\n", "́", "\xa0", "½", "12", "x" * 30, ". ", "-\n", "＿", "\x07", "。", "中文", "，", "ᄀ", "ᅡ", "'s", "'", "－", "١٢", "ͺ", "￼", "—", "한"]), max_size=60)
 
 
 @settings(max_examples=300, deadline=None)
@@ -37,6 +37,23 @@ def test_oversized_branch_equals_whole(spark, as_rows):
     assert got == sorted((k, len(tokens_of(clean_text(t)))) for k, t in texts)
 
 
+@pytest.mark.parametrize("sentence", ["Школьный музей открыт по вторникам, вход свободный. ", "学校博物馆每周二开放，入场免费。", "學校。", "학교 박물관은 화요일에 연다. "])
+def test_long_texts_of_any_script_are_cut(spark, sentence):
+    text = sentence * (1_000_000 // len(sentence))
+    df = spark.createDataFrame([(1, text)], "k long, text string")
+    assert len(tokens.cut_text(text, tokens.CHUNK_CHARS)) > 10
+    assert tokens.with_token_counts(df, "k", "text").first().n_tokens == len(tokens_of(clean_text(text)))
+
+
+@needs_bpe
+@pytest.mark.parametrize("sentence", ["Школьный музей открыт по вторникам, вход свободный. ", "学校博物馆每周二开放，入场免费。"])
+def test_long_texts_of_any_script_are_cut_for_bpe(spark, sentence):
+    text = sentence * (1_000_000 // len(sentence))
+    df = spark.createDataFrame([(1, text)], "k long, text string")
+    assert len(tokens.cut_text(text, tokens.CHUNK_CHARS, BPE)) > 10
+    assert tokens.with_token_counts(df, "k", "text", BPE).first().n_tokens == tokens.count_tokens([text], BPE)[0]
+
+
 def test_sites(spark):
     urls = ["http://www.A.example:80/x", "HTTPS://a.example", "https://u@a.example/?q", " https://a.example./ ", None, "", "www.a.example/p"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
