@@ -91,7 +91,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "scanned_pages")
-    return sitelines.without_lines(pages, sitelines.repeated_lines(pages))
+    return sitelines.without_repeats(pages, sitelines.repeated_lines(pages), sitelines.repeated_passages(pages))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

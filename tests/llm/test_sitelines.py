@@ -22,7 +22,8 @@ def test_chunks_depend_on_content_only():
     assert len(mine) > 1 and set(mine[2:]) <= set(shifted)  # a shift changes only chunks within a window of it
     again = chunk_lines([a])[1]
     assert np.array_equal(again, mine)
-    assert [len(x) for x in chunk_lines(["a"])] == [1, 1, 1]
+    for short in range(1, 9):
+        assert [x.sum() for x in chunk_lines(["a" * short])[2:]] == [short]
 
 
 def pages(spark):
@@ -50,20 +51,51 @@ def test_against_brute_force(spark, as_rows):
     assert {(s, k) for s, k, _, _ in got} == {x for x, n in count.items() if n >= 5 and n * 10 >= rows[x[0]]}
 
 
-def test_removal(spark):
+def cleaned(df):
+    return sitelines.without_repeats(df, sitelines.repeated_lines(df), sitelines.repeated_passages(df))
+
+
+def both_ways(monkeypatch, df):
+    """Broadcast, and shuffled with a hot site parted."""
+    first = {r.page_id: tuple(r) for r in cleaned(df).collect()}
+    monkeypatch.setattr(sitelines, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(sitelines, "SALT_ROWS", 7)
+    assert {r.page_id: tuple(r) for r in cleaned(df).collect()} == first
+    return first
+
+
+def test_removal(spark, monkeypatch):
     df = pages(spark)
-    for limit in (50_000_000, 0):  # broadcast and shuffled
-        sitelines.BROADCAST_CHARS, old = limit, sitelines.BROADCAST_CHARS
-        try:
-            got = {r.page_id: r for r in sitelines.without_lines(df, sitelines.repeated_lines(df)).collect()}
-        finally:
-            sitelines.BROADCAST_CHARS = old
-        assert len(got) == df.count()
-        assert "MENU" not in got[7].kept_text and "Unique paragraph" in got[7].kept_text and got[7].removed_lines == 2
-        assert got[200].kept_text == "MENU" and got[201].kept_text is None and got[100].removed_lines == 0
+    got = both_ways(monkeypatch, df)
+    assert len(got) == df.count()
+    assert "MENU" not in got[7][1] and "Unique paragraph" in got[7][1] and got[7][2] == 2
+    assert got[200][1] == "MENU" and got[201][1] is None and got[100][2] == 0
+
+
+def test_passages_are_cut_across_lines_and_inside_them(spark, monkeypatch):
+    byline = "Материал подготовлен редакцией школьного портала, перепечатка разрешена только с активной ссылкой на источник и указанием автора текста"
+    rows = []
+    for i in range(30):
+        own = f"Собственный абзац страницы {'абвгдежзик'[i % 10] * (i + 3)} про урок {'клмнопрст'[i % 9] * (i + 2)}"
+        end = byline if i % 2 else byline.replace(" портала, ", "\nпортала, ")  # wrapped otherwise on every second page
+        rows.append((i, "https://a.example/x", f"{own} {end}. {i * i} {'щъыьэюя'[i % 7] * (i + 4)} хвост"))
+    df = spark.createDataFrame(rows, "page_id long, page_url string, page_text string")
+    assert sitelines.repeated_lines(df).count() <= 1  # no whole line tells it
+    for i, (_, kept, _, gone) in both_ways(monkeypatch, df).items():
+        assert gone > len(byline) / 2 and "разрешена только с активной" not in kept
+        assert rows[i][2].split(" про урок ")[0] in kept and kept.endswith(rows[i][2][-8:])
+
+
+def test_chunks_of_pages_know_their_places():
+    texts = ["A  b\n12 c" * 30, "", "İ x" * 50, "a b 7 C" * 30]
+    of, h, begin, end, n = sitelines.chunk_pages(texts)
+    for k, t in enumerate(texts):
+        mine = of == k
+        assert "".join(t[a:b] for a, b in zip(begin[mine], end[mine], strict=True)) == t
+    assert np.array_equal(h[of == 0], h[of == 3])  # white space, figures and case aside they are equal
 
 
 def test_empty(spark):
     df = pages(spark).limit(0)
     assert sitelines.repeated_lines(df).count() == 0
-    assert sitelines.without_lines(df, sitelines.repeated_lines(df)).count() == 0
+    assert cleaned(df).count() == 0
