@@ -3,11 +3,13 @@
 Every bit of a language's codeword asks one binary question about the text (all 15 ways to part five
 languages in two). A bit's classifier is linear in the character n-grams of words, with log-ratio
 weights fitted on a bounded sample of labelled documents. Decoding is loss-weighted: the language whose
-codeword costs least under the logistic loss of all bits, with a confidence from the costs; a sentence
-whose two best codewords lie close is ambiguous and takes no part.
+codeword costs least under the logistic loss of all bits, with a confidence from the costs. A sentence
+whose two best codewords lie close is ambiguous: it takes no part in the choice and is marked so. A text most of whose words
+stand in sentences that no codeword fits well (less than ``FIT_LEAD`` a word ahead of the next) is in none of the five
+languages and is refused (``und``).
 
 The fit repairs its own labels: documents whose decoded language differs from their label are left out
-and the weights are fitted again. The sample's bound is ``SAMPLE_DOCS``.
+and the weights are fitted again. Bounds of the sample: ``SAMPLE_DOCS`` documents, and ``FIT_CHARS`` characters of whole sentences a document.
 
 Defined results: null text, empty text and text without words of letters (figures only) have no language.
 """
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.sample import bounded_sample
+from tessella.llm.sample import FIT_CHARS, bounded_sample, fit_text
 from tessella.llm.words import rejoined, visible
 from tessella.session import spread
 
@@ -34,6 +36,8 @@ SAMPLE_DOCS = 3_000
 BITS_LOG2 = 16
 NGRAMS = (1, 2, 3, 4)
 MARGIN = 2.0
+FIT_LEAD = 0.6
+UNKNOWN = "und"
 FULL_WORDS = 3
 # Frequent function words, so that small samples know every language.
 COMMON = {
@@ -115,13 +119,23 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(text)]
 
 
-def passages(text: str | None, scores: WordScores) -> tuple[str | None, float, list[tuple[int, int, str, float, int, int]]]:
-    """Main language, confidence, and passages (start, end, language, confidence, full sentences, words).
+@dataclass(frozen=True)
+class Verdict:
+    """Languages of a text. Passages: (start, end, language, confidence, full sentences, words) of clear sentences that stand together;
+    cover: (start, end, language, confidence, ambiguous) of stretches that cover the text. Offsets count characters of the visible text
+    (NFKC, words joined over line ends)."""
+
+    main: str | None = None
+    confidence: float = 0.0
+    ambiguous: bool = True
+    refused: bool = False
+    passages: tuple = ()
+    cover: tuple = ()
 
-    Offsets count characters of the visible text (NFKC, words joined over line ends).
-    """
+
+def judged(text: str | None, scores: WordScores) -> Verdict:
     if not text:
-        return None, 0.0, []
+        return Verdict()
     text = rejoined(visible(text))
     spans, words, counts = [], [], []
     for a, b in sentences(text):
@@ -131,17 +145,29 @@ def passages(text: str | None, scores: WordScores) -> tuple[str | None, float, l
             words += w
             counts.append(len(w))
     if not words:
-        return None, 0.0, []
+        return Verdict()
     s = scores.of(words)
     starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
     per = np.add.reduceat(s, starts, axis=0)
     best, lead, conf = decode(per)
+    n = np.array(counts)
     sure = lead >= MARGIN
-    weight = np.zeros(len(LANGS))
-    np.add.at(weight, best[sure], np.array(counts)[sure])
+    refused = bool(2 * n[lead < FIT_LEAD * n].sum() > n.sum())
+    cover: list[list] = []
+    for i, (a, b, _) in enumerate(spans):
+        if cover and cover[-1][2] == best[i] and cover[-1][4] == (not sure[i]):
+            cover[-1][1], cover[-1][3] = b, min(cover[-1][3], float(conf[i]))
+        else:
+            cover.append([a, b, int(best[i]), float(conf[i]), not sure[i]])
+    for x, y in zip(cover, cover[1:], strict=False):
+        x[1] = y[0]
+    cover[0][0], cover[-1][1] = 0, len(text)
+    whole = tuple((a, b, LANGS[k], c, bool(u)) for a, b, k, c, u in cover)
     if not sure.any():
         main, _, c = decode(per.sum(axis=0, keepdims=True))
-        return LANGS[main[0]], float(c[0]), []
+        return Verdict(LANGS[main[0]], float(c[0]), True, refused, (), whole)
+    weight = np.zeros(len(LANGS))
+    np.add.at(weight, best[sure], n[sure])
     main = int(weight.argmax())
     out: list[list] = []
     for i, (a, b, ended) in enumerate(spans):
@@ -153,7 +179,14 @@ def passages(text: str | None, scores: WordScores) -> tuple[str | None, float, l
             out[-1][3] = min(out[-1][3], float(conf[i]))
         else:
             out.append([a, b, int(best[i]), float(conf[i]), full, counts[i]])
-    return LANGS[main], float(weight[main] / weight.sum()), [(a, b, LANGS[k], c, n, w) for a, b, k, c, n, w in out]
+    share = float(weight[main] / weight.sum())
+    return Verdict(LANGS[main], share, refused or share < 0.6 or 2 * n[sure].sum() < n.sum(), refused, tuple((a, b, LANGS[k], c, f, w) for a, b, k, c, f, w in out), whole)
+
+
+def passages(text: str | None, scores: WordScores) -> tuple[str | None, float, list[tuple[int, int, str, float, int, int]]]:
+    """Main language, its confidence (share of the clear words), and the passages of ``judged``."""
+    v = judged(text, scores)
+    return v.main, v.confidence, list(v.passages)
 
 
 def languages_of(main: str | None, found: list[tuple]) -> list[str]:
@@ -196,39 +229,46 @@ def label_code(c: Column) -> Column:
     return F.when(~named.isin("", "unknown", "und", "none", "null"), named)
 
 
-def fit_on(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", most: int = SAMPLE_DOCS) -> Model:
-    """Fit on at most ``most`` labelled documents, drawn by hash of their id."""
+def fit_on(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", most: int = SAMPLE_DOCS, most_chars: int = FIT_CHARS) -> Model:
+    """Fit on at most ``most`` labelled documents, drawn by hash of their id; of longer texts on whole sentences up to ``most_chars`` characters."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), label_code(F.col(label)).alias("l"))
     rows = bounded_sample(rows.where(F.col("l").isin(*LANGS)), F.col("k"), most)
-    found = rows.select("k", F.substring("t", 1, 20_000).alias("t"), "l").where("t is not null").collect()
+    found = rows.select("k", fit_text(F.col("t"), most_chars).alias("t"), "l").where("t is not null").collect()
     return fit([(r["t"], r["l"]) for r in sorted(found, key=lambda r: (r["k"], r["l"], r["t"]))])
 
 
+SEGMENT = "array<struct<start:int,end:int,lang:string,confidence:double,sentences:int,words:int>>"
+STRETCH = "array<struct<start:int,end:int,lang:string,confidence:double,ambiguous:boolean>>"
+
+
 def detected(docs: DataFrame, model: Model, key: str = "source_path", text: str = "text") -> DataFrame:
-    """(key, main, confidence, passages) of each row; passages: start, end, lang, confidence, sentences, words."""
+    """(key, main, confidence, ambiguous, refused, langs, passages, cover) of each row; see ``Verdict``. A refused text has no ``langs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores = WordScores(shared.value)
         for pdf in it:
-            out = [passages(t, scores) for t in pdf[text]]
-            names = ("start", "end", "lang", "confidence", "sentences", "words")
-            rows = [[dict(zip(names, p, strict=True)) for p in x[2]] for x in out]
-            yield pd.DataFrame({key: pdf[key], "main": [x[0] for x in out], "confidence": [x[1] for x in out], "langs": [languages_of(x[0], x[2]) for x in out], "passages": rows})
+            out = [judged(t, scores) for t in pdf[text]]
+            names, places = ("start", "end", "lang", "confidence", "sentences", "words"), ("start", "end", "lang", "confidence", "ambiguous")
+            listed = {
+                "langs": [[] if v.refused else languages_of(v.main, v.passages) for v in out],
+                "passages": [[dict(zip(names, p, strict=True)) for p in v.passages] for v in out],
+                "cover": [[dict(zip(places, p, strict=True)) for p in v.cover] if len({c[2] for c in v.cover}) > 1 else [] for v in out],
+            }
+            yield pd.DataFrame({key: pdf[key]} | {c: [getattr(v, c) for v in out] for c in ("main", "confidence", "ambiguous", "refused")} | listed)
 
-    seg = "array<struct<start:int,end:int,lang:string,confidence:double,sentences:int,words:int>>"
-    return spread(docs.select(key, text)).mapInPandas(run, f"`{key}` {kind}, main string, confidence double, langs array<string>, passages {seg}")
+    return spread(docs.select(key, text)).mapInPandas(run, f"`{key}` {kind}, main string, confidence double, ambiguous boolean, refused boolean, langs array<string>, passages {SEGMENT}, cover {STRETCH}")
 
 
 def record_languages(records: DataFrame, docs: DataFrame) -> DataFrame:
-    """One row per record of a document: record_id, stored, main, confidence, langs, passages."""
+    """One row per record of a document: record_id, stored label, and the columns of ``detected``."""
     docs = docs.where("source_path is not null")
     found = detected(docs, fit_on(docs))
     return records.select("record_id", "source_path", label_code(F.col("language")).alias("stored")).join(found, "source_path").drop("source_path")
 
 
 def mislabelled(found: DataFrame) -> DataFrame:
-    """(record_id, lang_code) of records whose label is missing or wrong, or whose text is mixed."""
-    case = F.col("main").isNotNull() & (F.col("stored").isNull() | (F.col("stored") != F.col("main")) | (F.size("langs") > 1))
+    """(record_id, lang_code) of records whose label is missing or wrong, or whose text is mixed; texts in none of the languages have no row."""
+    case = F.col("main").isNotNull() & ~F.col("refused") & (F.col("stored").isNull() | (F.col("stored") != F.col("main")) | (F.size("langs") > 1))
     return found.where(case).select("record_id", F.explode("langs").alias("lang_code")).distinct()

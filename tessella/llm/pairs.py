@@ -2,8 +2,10 @@
 
 The rules run in this order, and every one that applies is reported:
 
-1. ``empty``: null, or nothing but spaces, marks, markup, an introducing word or a placeholder. Ends the list.
-2. ``copies_question``: after an introducing word, nothing but the question's words, once or more. Ends the list.
+1. ``empty``: null, or nothing but spaces, marks, markup, an introducing word or a placeholder. Nothing is left for other rules.
+2. ``copies_question``: after an introducing word, nothing but the question's words, once or more, or its beginning (three words and
+   ``PREFIX`` of it at least) that breaks off. A copy's words are the question's, so of the other rules only truncation applies:
+   to a cut copy, and to a whole one that leaves a delimiter unclosed; its end mark doesn't matter.
 3. ``truncated``: an unclosed delimiter or code fence at the end, an abrupt ending (joining mark, dash, ellipsis,
    dangling conjunction or preposition), or a last sentence without end mark that is not a short fact, list or link.
 4. ``refusal``: some sentence refuses or reports missing information and no other sentence gives an answer.
@@ -12,7 +14,8 @@ The rules run in this order, and every one that applies is reported:
    told by n-gram classifiers that are fitted on at most ``SAMPLE_PAIRS`` of the pairs themselves, which
    function words and letters label where they are clear; without such a model those words decide alone.
 
-Phrase rules are stems of refusing in five languages, not a list of whole sentences.
+Phrase rules are stems of refusing in five languages, not a list of whole sentences; a sentence is held against those of its
+own script, and within the Latin script of the answer's language where that is clear.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.langid import COMMON, LANGS, Model, WordScores, decode_costs, fit
-from tessella.llm.sample import bounded_sample
+from tessella.llm.sample import FIT_CHARS, bounded_sample, fit_text
 from tessella.llm.words import WORDS, visible
 from tessella.session import spread
 
@@ -33,6 +36,7 @@ DEFECTS = ("empty", "truncated", "refusal", "copies_question", "other_language")
 SHORT_FACT_WORDS = 7
 SAMPLE_PAIRS = 4_000
 LEAD = 0.6
+PREFIX = 0.6
 
 # Placeholders that stand for no answer.
 PLACEHOLDERS = {
@@ -64,33 +68,41 @@ DANGLING = set(
     "und oder aber dass der die das den dem des ein eine einen einem einer in im an am auf mit von zu zum zur für bei nach aus als wenn weil "
     "et ou mais que qui le la les un une des du de à au aux en dans sur pour avec par sans comme si quand car".split()
 )
-# Stems by which an answer refuses or reports that it has no information.
-REFUSING = re.compile(
-    r"""
-    (?:не\s+(?:с?мо(?:гу|жем)|(?:в\s+)?(?:состоянии|силах)|получится|удастся|представляется\s+возможным|имею|имеем|располага\w+|вправе|готов\w*|берусь|стану|буду|знаю|знаем|владе\w+|обладаю|умею|нашл\w+|найден\w*|могу|уполномоч\w+|облада\w+))
-    |(?:отве(?:тить|та)|помочь|сказать|обсуждать|сообщить|подсказать|комментировать)[\s\w]{0,25}\s(?:не\s+(?:могу|можем|получится|удастся|буду|стану|готов\w*)|невозможно|нельзя)
-    |воздерж\w+|отказыва\w+|вынужден\w*\s+отказать|затрудня\w+|бессил\w+|увы\b|к\s+сожалению|извините|простите|прошу\s+прощения|сожалею
-    |выходит\s+за\s+(?:рамки|пределы)|вне\s+моей\s+компетенции|языков\w+\s+модел\w+|как\s+(?:ии|искусственн\w+\s+интеллект)
-    |(?:нет|отсутству\w+|недостаточно|не\s+хватает|не\s+содерж\w+|не\s+найден\w*|не\s+обнаружен\w*|мало)\s+(?:\w+\s+){0,4}(?:информаци\w+|данных|сведени\w+|контекст\w*|ответа|материал\w*|документ\w*)
-    |(?:информаци\w+|данны\w+|сведени\w+|ответ\w*|документ\w*)\s+(?:\w+\s+){0,6}(?:нет\b|отсутству\w+|недостаточно|не\s+(?:найден|обнаружен|содерж|указан|передал|предостав|сказан)\w*)
-    |(?:ничего|об\s+этом)\s+(?:\w+\s+){0,4}не\s+(?:сказан|найден|указан|говорит|сообща|известн)\w*|мне\s+(?:это\s+)?не\s*известн\w+|данных\s+нет
-    |не\s+мож(?:у|емо)|не\s+вда(?:сться|лося)|не\s+маю|не\s+маємо|не\s+знаю|не\s+володі\w+|не\s+зможу|утрима\w+\s+від|утримаюсь|відмовля\w+|на\s+жаль|вибачте|перепрошую|пробачте|мовн\w+\s+модел\w+|поза\s+межами|виходить\s+за\s+межі|безсил\w+
-    |(?:немає|нема|бракує|недостатньо|відсутн\w+|не\s+містят\w*|не\s+знайден\w*)\s+(?:\w+\s+){0,4}(?:інформаці\w+|даних|відомост\w+|матеріал\w*|відповіді)
-    |(?:інформаці\w+|дан\w+|відомост\w+)\s+(?:\w+\s+){0,6}(?:немає|нема|відсутн\w+|не\s+(?:знайден|містят|вказан)\w*)
-    |\b(?:i|we)\s*(?:'m|\s+am|\s+are|'re|\s+was)?\s*(?:really\s+|very\s+|so\s+)?(?:sorry|afraid|unable|not\s+(?:able|allowed|permitted|sure|aware|in\s+a\s+position))
-    |\b(?:i|we)\s+(?:can\s*not|can't|could\s*n[o']t|could\s+not|do\s+not|don't|won't|will\s+not|must\s+decline|have\s+(?:no|to\s+decline)|would\s+rather\s+not|prefer\s+not|decline|lack|refuse|am\s+not)
-    |\bso\s+i\s+can't|(?:^|\W)sorry\b|unfortunately|apolog\w+|language\s+model|as\s+an\s+ai\b|beyond\s+(?:what\s+i|my|the\s+scope)|outside\s+(?:my|the\s+scope)
-    |(?:no|not\s+enough|insufficient|lacks?|without)\s+(?:\w+\s+){0,3}(?:information|data|details|evidence|passages?|sources?|documents?|context)\b
-    |(?:information|data|details|context|documents?|materials?|sources?|passages?)\s+(?:\w+\s+){0,5}(?:not|n't|no)\s+(?:\w+\s+){0,2}(?:available|found|contain\w*|mention\w*|provided|include\w*|given|say\w*|cover\w*|enough)
-    |(?:does|do|did)\s*(?:n't|\s+not)\s+(?:contain|mention|include|cover|provide|say)|cannot\s+(?:be\s+)?(?:answer\w*|help|assist|provide|say)|unable\s+to|not\s+comment
-    |leider|bedaure|bedauere|entschuldig\w+|verzeihung|tut\s+mir\s+leid|sprachmodell|kann\s+(?:ich|dazu|hierzu|das|diese)\s+(?:\w+\s+){0,5}nicht|ich\s+(?:kann|darf|möchte|weiß|habe|will|werde)\s+(?:\w+\s+){0,6}(?:nicht|keine?n?\b)|nicht\s+beantwort\w*|weigere
-    |(?:keine?r?l?e?i?|nicht\s+genügend|nicht\s+genug|unzureichende?)\s+(?:\w+\s+){0,3}(?:angaben|informationen?|daten|auskunft|antwort|hinweise|unterlagen|kenntnis\w*)|liegen\s+mir\s+(?:\w+\s+){0,3}(?:keine|nicht)|außerhalb\s+meine\w+|übersteigt\s+mein\w+
-    |désolée?s?|navrée?s?|malheureusement|je\s+regrette|excusez|pardon|mod[èe]le\s+de\s+langage|je\s+(?:ne|n')\s*(?:\w+\s+){0,3}(?:pas|aucune?|rien)|je\s+n['’]\w+\s+(?:pas|aucune?)|impossible\s+de|m['’]abstien\w*|je\s+préfère\s+ne|dépasse\s+mes|hors\s+de\s+m\w+
-    |(?:aucune?|pas\s+(?:d['’]|de\s+|assez\s+d['’]\s*|assez\s+de\s+|suffisamment\s+d['’]\s*))\s*(?:information|donnée|réponse|élément|précision|renseignement|document|passage|indication)s?
-    |(?:contexte|documents?|sources?|matériaux|textes?)\s+(?:\w+\s+){0,3}ne\s+(?:\w+\s+){0,3}(?:pas|rien|aucun)
-    """,
-    re.X | re.I,
-)
+# Stems by which an answer refuses or reports that it has no information, by language.
+_STEMS = {
+    "ru": r"""
+        (?:не\s+(?:с?мо(?:гу|жем)|(?:в\s+)?(?:состоянии|силах)|получится|удастся|представляется\s+возможным|имею|имеем|располага\w+|вправе|готов\w*|берусь|стану|буду|знаю|знаем|владе\w+|обладаю|умею|нашл\w+|найден\w*|могу|уполномоч\w+|облада\w+))
+        |(?:отве(?:тить|та)|помочь|сказать|обсуждать|сообщить|подсказать|комментировать)[\s\w]{0,25}\s(?:не\s+(?:могу|можем|получится|удастся|буду|стану|готов\w*)|невозможно|нельзя)
+        |воздерж\w+|отказыва\w+|вынужден\w*\s+отказать|затрудня\w+|бессил\w+|увы\b|к\s+сожалению|извините|простите|прошу\s+прощения|сожалею
+        |выходит\s+за\s+(?:рамки|пределы)|вне\s+моей\s+компетенции|языков\w+\s+модел\w+|как\s+(?:ии|искусственн\w+\s+интеллект)
+        |(?:нет|отсутству\w+|недостаточно|не\s+хватает|не\s+содерж\w+|не\s+найден\w*|не\s+обнаружен\w*|мало)\s+(?:\w+\s+){0,4}(?:информаци\w+|данных|сведени\w+|контекст\w*|ответа|материал\w*|документ\w*)
+        |(?:информаци\w+|данны\w+|сведени\w+|ответ\w*|документ\w*)\s+(?:\w+\s+){0,6}(?:нет\b|отсутству\w+|недостаточно|не\s+(?:найден|обнаружен|содерж|указан|передал|предостав|сказан)\w*)
+        |(?:ничего|об\s+этом)\s+(?:\w+\s+){0,4}не\s+(?:сказан|найден|указан|говорит|сообща|известн)\w*|мне\s+(?:это\s+)?не\s*известн\w+|данных\s+нет
+        """,
+    "uk": r"""
+        не\s+мож(?:у|емо)|не\s+вда(?:сться|лося)|не\s+маю|не\s+маємо|не\s+знаю|не\s+володі\w+|не\s+зможу|утрима\w+\s+від|утримаюсь|відмовля\w+|на\s+жаль|вибачте|перепрошую|пробачте|мовн\w+\s+модел\w+|поза\s+межами|виходить\s+за\s+межі|безсил\w+
+        |(?:немає|нема|бракує|недостатньо|відсутн\w+|не\s+містят\w*|не\s+знайден\w*)\s+(?:\w+\s+){0,4}(?:інформаці\w+|даних|відомост\w+|матеріал\w*|відповіді)
+        |(?:інформаці\w+|дан\w+|відомост\w+)\s+(?:\w+\s+){0,6}(?:немає|нема|відсутн\w+|не\s+(?:знайден|містят|вказан)\w*)
+        """,
+    "en": r"""
+        \b(?:i|we)\s*(?:'m|\s+am|\s+are|'re|\s+was)?\s*(?:really\s+|very\s+|so\s+)?(?:sorry|afraid|unable|not\s+(?:able|allowed|permitted|sure|aware|in\s+a\s+position))
+        |\b(?:i|we)\s+(?:can\s*not|can't|could\s*n[o']t|could\s+not|do\s+not|don't|won't|will\s+not|must\s+decline|have\s+(?:no|to\s+decline)|would\s+rather\s+not|prefer\s+not|decline|lack|refuse|am\s+not)
+        |\bso\s+i\s+can't|(?:^|\W)sorry\b|unfortunately|apolog\w+|language\s+model|as\s+an\s+ai\b|beyond\s+(?:what\s+i|my|the\s+scope)|outside\s+(?:my|the\s+scope)
+        |(?:no|not\s+enough|insufficient|lacks?|without)\s+(?:\w+\s+){0,3}(?:information|data|details|evidence|passages?|sources?|documents?|context)\b
+        |(?:information|data|details|context|documents?|materials?|sources?|passages?)\s+(?:\w+\s+){0,5}(?:not|n't|no)\s+(?:\w+\s+){0,2}(?:available|found|contain\w*|mention\w*|provided|include\w*|given|say\w*|cover\w*|enough)
+        |(?:does|do|did)\s*(?:n't|\s+not)\s+(?:contain|mention|include|cover|provide|say)|cannot\s+(?:be\s+)?(?:answer\w*|help|assist|provide|say)|unable\s+to|not\s+comment
+        """,
+    "de": r"""
+        leider|bedaure|bedauere|entschuldig\w+|verzeihung|tut\s+mir\s+leid|sprachmodell|kann\s+(?:ich|dazu|hierzu|das|diese)\s+(?:\w+\s+){0,5}nicht|ich\s+(?:kann|darf|möchte|weiß|habe|will|werde)\s+(?:\w+\s+){0,6}(?:nicht|keine?n?\b)|nicht\s+beantwort\w*|weigere
+        |(?:keine?r?l?e?i?|nicht\s+genügend|nicht\s+genug|unzureichende?)\s+(?:\w+\s+){0,3}(?:angaben|informationen?|daten|auskunft|antwort|hinweise|unterlagen|kenntnis\w*)|liegen\s+mir\s+(?:\w+\s+){0,3}(?:keine|nicht)|außerhalb\s+meine\w+|übersteigt\s+mein\w+
+        """,
+    "fr": r"""
+        désolée?s?|navrée?s?|malheureusement|je\s+regrette|excusez|pardon|mod[èe]le\s+de\s+langage|je\s+(?:ne|n')\s*(?:\w+\s+){0,3}(?:pas|aucune?|rien)|je\s+n['’]\w+\s+(?:pas|aucune?)|impossible\s+de|m['’]abstien\w*|je\s+préfère\s+ne|dépasse\s+mes|hors\s+de\s+m\w+
+        |(?:aucune?|pas\s+(?:d['’]|de\s+|assez\s+d['’]\s*|assez\s+de\s+|suffisamment\s+d['’]\s*))\s*(?:information|donnée|réponse|élément|précision|renseignement|document|passage|indication)s?
+        |(?:contexte|documents?|sources?|matériaux|textes?)\s+(?:\w+\s+){0,3}ne\s+(?:\w+\s+){0,3}(?:pas|rien|aucun)
+        """,
+}
+REFUSING = {k: re.compile(v, re.X | re.I) for k, v in _STEMS.items()}
 # Filler around a refusal that is not itself an answer.
 FILLER = re.compile(
     r"""
@@ -146,6 +158,20 @@ def is_empty(answer: str | None) -> bool:
     return not words or " ".join(words) in PLACEHOLDERS or not WORDS.search(_LEAD_IN.sub("", text))
 
 
+def cut_copy(question: str | None, answer: str) -> bool:
+    """After introducing words, the beginning of the question, broken off."""
+    q, a = (WORDS.findall(visible(t or "").lower()) for t in (question, answer))
+    if _END.search(visible(answer).strip()):
+        return False
+    for lead in range(len(a)):
+        k = len(a) - lead
+        if 3 <= k < len(q) and k >= PREFIX * len(q) and a[lead:] == q[:k]:
+            return True
+        if a[lead] not in INTRODUCING:
+            return False
+    return False
+
+
 def copies_question(question: str | None, answer: str) -> bool:
     q, a = (WORDS.findall(visible(t or "").lower()) for t in (question, answer))
     if not q or len(a) < len(q):
@@ -217,15 +243,25 @@ def _short_fact(body: str) -> bool:
     return n <= 3 or n <= SHORT_FACT_WORDS and bool(_FACT.match(body))
 
 
-def is_refusal(answer: str) -> bool:
+def _languages_of(text: str, scores: WordScores | None) -> tuple[str, ...]:
+    """The languages whose refusals the text can hold: those of its script, within the Latin script the one it is clearly in."""
+    script = script_of(text)
+    if script is None:
+        return LANGS
+    told = _told(text, script, scores) if script == "latin" else None
+    return (told,) if told else _SCRIPTS[script]
+
+
+def is_refusal(answer: str, scores: WordScores | None = None) -> bool:
     """Some sentence refuses, and every other is filler or an introduction."""
     body = _LEAD_IN.sub("", visible(answer).replace("’", "'"))
-    refused = False
+    refused, langs = False, None
     for m in _SENTENCE.finditer(body):
         s = m.group()
         if not WORDS.search(s):
             continue
-        if _refusing(s):
+        langs = langs or _languages_of(body, scores)
+        if _refusing(s, langs):
             refused = True
         elif not FILLER.search(s):
             return False
@@ -243,13 +279,14 @@ _SPEAKER = re.compile(
 _BUT = re.compile(r"[,;:–—]\s*(?:но|однако|зато|але|проте|but|however|yet|aber|jedoch|mais|cependant)\s", re.I)
 
 
-def _refusing(sentence: str) -> bool:
+def _refusing(sentence: str, langs: tuple[str, ...] = LANGS) -> bool:
     """A refusal that no contrast turns into an answer ("..., but the course takes 12 hours")."""
+    refuses = lambda t: any(REFUSING[k].search(t) for k in langs)
     s = _QUOTED.sub(" ", sentence)
-    if not (REFUSING.search(s) and _SPEAKER.search(s)):
+    if not (refuses(s) and _SPEAKER.search(s)):
         return False
     tail = _BUT.split(sentence)[1:]
-    return not tail or len(WORDS.findall(tail[-1])) < 4 or bool(REFUSING.search(tail[-1]) or FILLER.search(tail[-1]))
+    return not tail or len(WORDS.findall(tail[-1])) < 4 or bool(refuses(tail[-1]) or FILLER.search(tail[-1]))
 
 
 def _told(text: str, script: str, scores: WordScores | None) -> str | None:
@@ -282,24 +319,27 @@ def other_language(question: str | None, answer: str, scores: WordScores | None
 def defects_of(question: str | None, answer: str | None, scores: WordScores | None = None) -> list[str]:
     if is_empty(answer):
         return ["empty"]
+    text = visible(answer).strip()
     if copies_question(question, answer):
-        return ["copies_question"]
+        return ["copies_question"] + ["truncated"] * (_unclosed(text) and not _unclosed(visible(question)))
+    if cut_copy(question, answer):
+        return ["copies_question", "truncated"]
     found = []
     if is_truncated(answer):
         found.append("truncated")
-    if is_refusal(answer):
+    if is_refusal(answer, scores):
         found.append("refusal")
     if other_language(question, answer, scores):
         found.append("other_language")
     return found
 
 
-def fit_on_pairs(pairs: DataFrame, most: int = SAMPLE_PAIRS) -> Model:
+def fit_on_pairs(pairs: DataFrame, most: int = SAMPLE_PAIRS, most_chars: int = FIT_CHARS) -> Model:
     """n-gram classifiers from (q, a) rows whose function words and letters tell the language clearly."""
-    cols = [F.substring(c, 1, 5_000).alias(c) for c in ("q", "a")]
-    sample = bounded_sample(pairs, F.col("row_id"), most).where("q is not null and a is not null").select(*cols).collect()
+    cols = [fit_text(F.col(c), most_chars).alias(c) for c in ("q", "a")]
+    sample = bounded_sample(pairs, F.xxhash64("row_id", "q"), most).where("q is not null and a is not null").select("row_id", *cols).collect()
     labelled = []
-    for r in sample:
+    for r in sorted(sample, key=lambda r: (r["row_id"], r["q"], r["a"])):
         text = _QUOTED.sub(" ", visible(f"{r['q']} {r['a']}"))
         script = script_of(text)
         told = language_of(text, script) if script else None
@@ -308,9 +348,9 @@ def fit_on_pairs(pairs: DataFrame, most: int = SAMPLE_PAIRS) -> Model:
     return fit(labelled)
 
 
-def pair_defects(df: DataFrame, row_id: str, question: str, answer: str) -> DataFrame:
-    """(row_id, defect): one row per row of ``df`` and defect; rows without defect give none."""
-    pairs = df.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(question).alias("q"), F.col(answer).alias("a"))
+def pair_defects(df: DataFrame, row_id: str, question: str, answer: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(``keep`` columns, row_id, defect): one row per row of ``df`` and defect; rows without defect give none."""
+    pairs = df.select(*keep, F.col(row_id).cast("bigint").alias("row_id"), F.col(question).alias("q"), F.col(answer).alias("a"))
     model = df.sparkSession.sparkContext.broadcast(fit_on_pairs(pairs))  # fixed size
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -322,4 +362,4 @@ def pair_defects(df: DataFrame, row_id: str, question: str, answer: str) -> Data
             out.append(seen[pair])
         return pd.Series(out)
 
-    return spread(pairs).select("row_id", F.explode(defects("q", "a")).alias("defect")).distinct()
+    return spread(pairs).select(*keep, "row_id", F.explode(defects("q", "a")).alias("defect")).distinct()

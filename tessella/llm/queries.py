@@ -15,10 +15,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    gold = pairs.pair_defects(table(spark, d, "eval_set_gold_manual"), "item_id", "question", "answer_ref")
-    cached = pairs.pair_defects(table(spark, d, "cached_answers"), "id", "question", "answer")
-    named = [x.select(F.lit(n).alias("tbl"), "row_id", "defect") for n, x in (("eval_set_gold_manual", gold), ("cached_answers", cached))]
-    return named[0].unionByName(named[1])
+    both = [("eval_set_gold_manual", "item_id", "answer_ref"), ("cached_answers", "id", "answer")]
+    rows = [table(spark, d, t).select(F.lit(t).alias("tbl"), F.col(i).alias("row_id"), F.col("question").alias("q"), F.col(a).alias("a")) for t, i, a in both]
+    return pairs.pair_defects(rows[0].unionByName(rows[1]), "row_id", "q", "a", keep=("tbl",))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,12 +76,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Language and confidence of every record, and of every passage of a mixed text (passage_no from 1; 0: whole text)."""
-    found = _languages(spark, d).where("main is not null")
-    whole = found.select("record_id", F.lit(0).alias("passage_no"), F.col("main").alias("lang_code"), "confidence", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
-    parts = found.where(F.size("passages") > 1).select("record_id", F.posexplode("passages").alias("i", "p"))
-    parts = parts.select("record_id", (F.col("i") + 1).alias("passage_no"), F.col("p.lang").alias("lang_code"), F.col("p.confidence").alias("confidence"), "p.start", "p.end")
-    return whole.unionByName(parts)
+    """Language and confidence of every record (passage_no 0; ``und`` where no language fits), and of the stretches that cover a mixed text (from 1)."""
+    found = _languages(spark, d).where("main is not null").withColumn("x", F.explode(F.concat(
+        F.array(F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.when(F.col("refused"), langid.UNKNOWN).otherwise(F.col("main")).alias("lang"), "confidence", "ambiguous", F.lit(0).alias("no"))),
+        F.transform(F.when(F.size("langs") > 1, F.col("cover")).otherwise(F.slice("cover", 1, 0)), lambda c, i: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["lang"].alias("lang"), c["confidence"].alias("confidence"), c["ambiguous"].alias("ambiguous"), (i + 1).alias("no"))),
+    )))
+    return found.select("record_id", F.col("x.no").alias("passage_no"), F.col("x.lang").alias("lang_code"), F.col("x.confidence").alias("confidence"), "x.ambiguous", "x.start", "x.end")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SPAN = 1 << 40
+# Characters that one text may bring to a fit; see ``drawn_passages``.
+FIT_CHARS = 50_000
+_PASSAGE = re.compile(r"\S.*?(?:[.!?…](?=\s)|\n|\Z)", re.S)
 
 
 def bounded_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
@@ -18,3 +26,30 @@ def bounded_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
     if n <= most:
         return df
     return df.where(F.pmod(F.xxhash64(key, F.lit(29)), F.lit(_SPAN)) < int(_SPAN * 1.05 * most / n))
+
+
+def drawn_passages(text: str | None, most: int) -> str | None:
+    """The text if it has at most ``most`` characters, else whole sentences or lines drawn by hash over its whole length, in their order.
+
+    A single sentence longer than ``most`` is passed over.
+    """
+    if text is None or len(text) <= most:
+        return text
+    parts = [m.group() for m in _PASSAGE.finditer(text)]
+    order = sorted(range(len(parts)), key=lambda i: xxhash.xxh32_intdigest(f"{i}:{len(parts)}"))
+    kept, size = [], 0
+    for i in order:
+        if size + len(parts[i]) <= most:
+            kept.append(i)
+            size += len(parts[i])
+    return "\n".join(parts[i] for i in sorted(kept))
+
+
+def fit_text(text: Column, most: int = FIT_CHARS) -> Column:
+    """``drawn_passages`` where the text lies; shorter texts don't leave the JVM's row for it."""
+
+    @F.pandas_udf(T.StringType())
+    def drawn(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: drawn_passages(t, most))
+
+    return F.when(F.length(text) <= most, text).otherwise(drawn(F.when(F.length(text) > most, text)))

@@ -81,3 +81,37 @@ def test_records(spark, as_rows):
     r = spark.createDataFrame(rec, "record_id long, source_path string, language string").withColumn("main", F.lit("x"))
     assert as_rows(langid.mislabelled(langid.record_languages(r, d))) == [(2, "uk"), (3, "en"), (5, "fr"), (6, "en"), (6, "ru"), (11, "uk")]
     assert langid.mislabelled(langid.record_languages(r.limit(0), d.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "Muzeum szkolne jest otwarte we wtorki i czwartki. Uczniowie mogą wejść bezpłatnie, jeżeli mają legitymację.",
+    "Okul müzesi salı ve perşembe günleri açıktır. Öğrenciler kartları varsa ücretsiz girebilirler.",
+    "学校博物馆每周二开放。 学生可以免费入场。 老师讲述城市的历史。",
+])
+def test_other_languages_are_refused(model, text):
+    v = langid.judged(text, langid.WordScores(model))
+    assert v.refused and v.ambiguous
+
+
+@pytest.mark.parametrize("k", sorted(TEXT))
+def test_own_languages_are_not_refused(model, k):
+    v = langid.judged(TEXT[k], langid.WordScores(model))
+    assert not v.refused and not v.ambiguous and v.main == k
+
+
+def test_cover_is_gapless_and_marks_ambiguity(model):
+    text = TEXT["ru"] + " OK. " + TEXT["de"] + "\n\n12 13.\n"
+    v = langid.judged(text, langid.WordScores(model))
+    assert v.cover[0][0] == 0 and v.cover[-1][1] == len(text)
+    assert all(x[1] == y[0] for x, y in zip(v.cover, v.cover[1:], strict=False))
+    clear = [c[2] for c in v.cover if not c[4]]
+    assert clear == ["ru", "de"] and any(c[4] for c in v.cover)
+    half = langid.judged(TEXT["ru"] + " " + TEXT["de"], langid.WordScores(model))
+    assert half.ambiguous and half.confidence < 0.6
+
+
+def test_mixed_refused_text_has_no_row(spark):
+    d = spark.createDataFrame([(1, "p", "学校博物馆每周二开放。 学生可以免费入场。", None)], "doc_id long, source_path string, text string, lang string")
+    r = spark.createDataFrame([(1, "p", None)], "record_id long, source_path string, language string")
+    found = langid.record_languages(r, d)
+    assert found.first().refused and langid.mislabelled(found).count() == 0

@@ -38,6 +38,12 @@ from tessella.llm.pairs import defects_of
         ("Переведите на английский: курс открыт.", "The course is open.", []),
         ("What is the course for?", "Der Kurs ist für die Eltern und die Kinder, die nicht in der Stadt sind.", ["other_language"]),
         (None, "Курс открыт.", []),
+        ("How long is the spring course?", "How long is the spring", ["copies_question", "truncated"]),
+        ("How long is the spring course?", "Answer: how long is the spring course (", ["copies_question", "truncated"]),
+        ("Музей открыт по вторникам или по средам?", "Музей открыт по вторникам.", []),
+        ("How long is the course?", "How long is the course? It takes", ["truncated"]),
+        ("Why did the king write to the school?", "The king asked the school for its pardon and he got it from them.", []),
+        ("Pourquoi ?", "Pardon, je ne sais pas.", ["refusal"]),
     ],
 )
 def test_rules(question, answer, want):
@@ -53,3 +59,13 @@ def test_frame_with_clashing_columns_repeats_and_empty(spark, as_rows):
     df = df.withColumn("a", df.id).withColumn("row_id", df.id).withColumn("defect", df.q)
     assert as_rows(pairs.pair_defects(df.unionByName(df), "id", "question", "answer")) == [(1, "empty"), (3, "copies_question")]
     assert pairs.pair_defects(df.limit(0), "id", "question", "answer").count() == 0
+
+
+def test_long_texts_bring_whole_sentences_to_the_fit():
+    from tessella.llm.sample import drawn_passages
+
+    text = " ".join(f"Sentence number {i} stands here." for i in range(1_000))
+    got = drawn_passages(text, 3_000)
+    assert 2_800 < len(got) <= 3_200 and set(got.split("\n")) <= {f"Sentence number {i} stands here." for i in range(1_000)}
+    assert any(int(x.split()[2]) > 900 for x in got.split("\n")) and got == drawn_passages(text, 3_000)
+    assert drawn_passages(None, 5) is None and drawn_passages("short", 5) == "short" and drawn_passages("x" * 10, 5) == ""
