@@ -9,7 +9,9 @@ Reviewers label documents, not sentences. So the fit alternates: in each documen
 category the sentence that speaks most for it is taken as the example, all sentences of documents without any such vote
 are counterexamples, and the weights are fitted again. Per-coordinate rates and L1 give a small broadcast.
 
-Bounds: at most ``SAMPLE_DOCS`` labelled and ``BACKGROUND_DOCS`` other documents are used, 2 ** ``BITS`` weights per category.
+Bounds of the fit: at most ``SAMPLE_DOCS`` labelled and ``BACKGROUND_DOCS`` other documents, of each whole sentences of up to ``FIT_CHARS``
+characters, drawn by hash; of their counterexample sentences ``NEGATIVES`` reviewed and half as many unreviewed ones, drawn by seed;
+2 ** ``BITS`` weights per category. Scoring has no bound.
 Defined results: null or wordless texts score 0; a vote counts where it is not null; a document is an
 example where at least half of its votes name the category.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.abuse_seeds import seed_sentences
-from tessella.llm.sample import bounded_sample
+from tessella.llm.sample import FIT_CHARS, bounded_sample, drawn, fit_text
 from tessella.llm.words import mix, rejoined, visible
 from tessella.session import spread
 
@@ -188,7 +190,7 @@ def split_sentences(text: str | None) -> list[np.ndarray]:
     return np.split(f, np.flatnonzero(at[1:] != at[:-1]) + 1) if len(f) else []
 
 
-def fit(labelled: list[tuple[str, dict[str, float]]], background: list[str] | None = None) -> Model:
+def fit(labelled: list[tuple[str, dict[str, float]]], background: list[str] | None = None, negatives: int = NEGATIVES) -> Model:
     """Fit on (text, share of votes by category), unlabelled background texts and the seed sentences.
 
     Background sentences are mild counterexamples as long as they do not look like cases, and tell what is ordinary.
@@ -203,9 +205,9 @@ def fit(labelled: list[tuple[str, dict[str, float]]], background: list[str] | No
         if not any(v.values()):
             for f in s:
                 clean.setdefault(f.tobytes(), f)
-    clean_list = _drawn(list(clean.values()), NEGATIVES)
+    clean_list = _drawn(list(clean.values()), negatives)
     mild = {f.tobytes(): f for s in behind for f in s}
-    mild_list = _drawn([f for k, f in mild.items() if k not in clean], NEGATIVES // 2)
+    mild_list = _drawn([f for k, f in mild.items() if k not in clean], negatives // 2)
     n_clean = len(clean_list)
     clean_list += mild_list
     base_f = [f for f, _ in seeds] + clean_list
@@ -299,15 +301,16 @@ def _log_odds(docs: list) -> list[np.ndarray]:
     return out
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Model:
-    """Fit on at most ``most`` labelled documents, drawn by hash of their id."""
+def fit_on(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, background: int = BACKGROUND_DOCS, most_chars: int = FIT_CHARS, negatives: int = NEGATIVES) -> Model:
+    """Fit on at most ``most`` labelled and ``background`` other documents, drawn by hash of their id in one read of the documents."""
     voted = labels.where("label is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("votes"), *[F.count_if(F.col("label") == c).alias(c) for c in CATEGORIES])
     voted = bounded_sample(voted, F.col("doc_id"), most)
-    texts = docs.select("doc_id", F.substring("text", 1, 50_000).alias("text"))
-    rows = texts.join(F.broadcast(voted), "doc_id").orderBy("doc_id").collect()
-    behind = bounded_sample(texts, F.col("doc_id"), BACKGROUND_DOCS).orderBy("doc_id").collect()
-    known = {r["doc_id"] for r in rows}
-    return fit([(r["text"], {c: r[c] / r["votes"] for c in CATEGORIES}) for r in rows], [r["text"] for r in behind if r["doc_id"] not in known])
+    texts = docs.select("doc_id", "text", drawn(docs, F.col("doc_id"), background).alias("behind")).join(F.broadcast(voted), "doc_id", "left")
+    rows = texts.where(F.col("votes").isNotNull() | F.col("behind")).withColumn("text", fit_text(F.col("text"), most_chars)).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    known = {r["doc_id"] for r in rows if r["votes"]}
+    labelled = [(r["text"], {c: r[c] / r["votes"] for c in CATEGORIES}) for r in rows if r["votes"]]
+    return fit(labelled, [r["text"] for r in rows if r["behind"] and r["doc_id"] not in known], negatives)
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

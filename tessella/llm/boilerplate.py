@@ -6,9 +6,10 @@ it: what a tag path would say (title, heading, list item, menu row, prose, wrapp
 page's own title and headings, marks, separators, length, ending, blank lines and place. Two LSTMs run over
 the lines in both directions, so each line is judged by the whole page, and a logistic layer labels it.
 
-The network is fitted where it is used, on at most ``SAMPLE_PAGES`` pages, with labels that the sample itself
-gives (``weak_labels``): title, headings, list items and prose are content; lines that recur over
-the sample's sites, menus, breadcrumbs and lines of no content role are not; doubtful lines take no part.
+The network is fitted where it is used, on at most ``SAMPLE_PAGES`` whole pages (pages of more than ``FIT_CHARS`` characters are left out
+of the fit), with labels that the pages themselves give (``weak_labels``): title, headings, list items and prose are content; lines that
+recur over sites, menus, breadcrumbs and lines of no content role are not; doubtful lines take no part. How often a line recurs
+is counted over all pages (``recurrence``), for the keys of the sample.
 The labels use recurrence, which the network never sees, so it must learn what such lines look like.
 
 Defined results: null or blank text has no lines; a repeated line is judged at each place.
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.sample import bounded_sample
+from tessella.llm.sample import FIT_CHARS, bounded_sample
 from tessella.llm.words import WORDS
 from tessella.session import spread
 
@@ -154,22 +155,56 @@ def _key(s: str) -> str:
     return _NUMBER.sub("0", _QUOTED.sub("Q", " ".join(s.split()))).lower()
 
 
-def weak_labels(pages: list[dict]) -> list[np.ndarray]:
+class Recurrence:
+    """Pages per key, pages per (site, key), pages and pages per site, by hash; over all pages, for the keys of a sample."""
+
+    def __init__(self, keys: dict[int, int], pairs: dict[int, int], pages: int, sites: dict[int, int]) -> None:
+        self.keys, self.pairs, self.pages, self.sites = keys, pairs, pages, sites
+
+    def often(self, site: int, key: str) -> bool:
+        """On a seventieth of all pages or a seventh of the site's, and on four at least."""
+        h = key_hash(key)
+        n, own = self.keys.get(h, 0), self.pairs.get(pair_hash(site, h), 0)
+        return n * 70 >= self.pages and n >= 4 or own * 7 >= self.sites.get(site, 0) and own >= 4
+
+
+def key_hash(key: str) -> int:
+    return xxhash.xxh3_64_intdigest(key) - (1 << 63)
+
+
+def pair_hash(site: int, h: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{site} {h}") - (1 << 63)
+
+
+def leaf_keys(text: str | None) -> list[str]:
+    return [_key(_MARK.sub("", r[1])) for r in leaves(text)]
+
+
+def counted(pages: list[dict]) -> Recurrence:
+    """The recurrence among the given pages alone."""
+    keys, pairs, sites = Counter(), Counter(), Counter()
+    for p in pages:
+        own = {key_hash(k) for k in leaf_keys(p["text"])}
+        keys.update(own)
+        pairs.update({pair_hash(p["site"], h) for h in own})
+        sites[p["site"]] += 1
+    return Recurrence(keys, pairs, len(pages), sites)
+
+
+def weak_labels(pages: list[dict], known: Recurrence | None = None) -> list[np.ndarray]:
     """Per page the labels of its leaves: 1 furniture, 0 content, -1 doubtful.
 
-    ``pages`` have text, title, headings and site. A key (figures and quoted names masked) recurs if it stands on a
-    seventieth of the sample's pages or a seventh of its site's. Subheadings and list items are known by their keys
-    from the pages that name or mark them.
+    ``pages`` have text, title, headings and site. Keys (figures and quoted names masked) recur as ``known`` tells. Subheadings and list
+    items are known by their keys from the pages that name or mark them.
     """
-    total, per_site, site_rows, subheads, titles, items = Counter(), Counter(), Counter(), set(), set(), Counter()
+    known = known or counted(pages)
+    total, subheads, titles, items = Counter(), set(), set(), Counter()
     split = []
     for p in pages:
         rows = leaves(p["text"])
         keys = [_key(_MARK.sub("", r[1])) for r in rows]
         split.append((rows, keys))
-        site_rows[p["site"]] += 1
         total.update(set(keys))
-        per_site.update({(p["site"], k) for k in keys})
         items.update({k for r, k in zip(rows, keys, strict=True) if _BULLET.match(r[1])})
         title = _flat(p["title"])
         if title:
@@ -183,7 +218,7 @@ def weak_labels(pages: list[dict]) -> list[np.ndarray]:
         open_before = False
         for i, ((_, s, blank, blank_next), k) in enumerate(zip(rows, keys, strict=True)):
             n, v = facts[i][1], x[i]
-            often = total[k] * 70 >= len(pages) and total[k] >= 4 or per_site[p["site"], k] * 7 >= site_rows[p["site"]] and per_site[p["site"], k] >= 4
+            often = known.often(p["site"], k)
             goes_on = not blank_next and i + 1 < len(rows) and rows[i + 1][1][0].islower()
             prose = n >= 6 and (goes_on or len(_INNER_END.findall(s)) > 0 and v[16] == 0)
             open_now = False
@@ -341,11 +376,11 @@ class Network:
         return float(-np.log(np.where(y == 1, p, 1 - p)[counts] + 1e-7).mean())
 
 
-def fit(pages: list[dict], epochs: int = EPOCHS) -> Network:
+def fit(pages: list[dict], epochs: int = EPOCHS, known: Recurrence | None = None) -> Network:
     """Fit on pages (text, title, headings, site) by their weak labels."""
     net, state, rng = Network(), {}, np.random.default_rng(11)
     data = [page_input(p["text"], p["title"], p["headings"]) for p in pages]
-    labels = weak_labels(pages)
+    labels = weak_labels(pages, known)
     for e in range(epochs):
         blind = [_without_names(d, rng) for d in data]
         order = rng.permutation(len(data))
@@ -372,11 +407,47 @@ def _without_names(page, rng) -> tuple:
     return numbers, x, ids, count
 
 
-def fit_on(pages: DataFrame, most: int = SAMPLE_PAGES) -> Network:
-    """Fit on at most ``most`` pages, drawn by hash of their id."""
-    cols = [F.substring("page_text", 1, 30_000).alias("text"), F.col("page_title").alias("title"), "headings", F.coalesce("resource_id", F.lit(-1)).alias("site")]
-    sample = bounded_sample(pages, F.col("page_id"), most).where("page_text is not null").select("page_id", *cols).collect()
-    return fit([r.asDict() for r in sorted(sample, key=lambda r: r["page_id"])])
+def recurrence(pages: DataFrame, sample: list[dict]) -> Recurrence:
+    """Counts over all pages for the keys, (site, key) pairs and sites of the sample; added up before the shuffle.
+
+    The driver gets at most one row per key and pair of the sample.
+    """
+    own = [(p["site"], {key_hash(k) for k in leaf_keys(p["text"])}) for p in sample]
+    wanted = frozenset(h for _, hs in own for h in hs), frozenset(pair_hash(s, h) for s, hs in own for h in hs)
+    shared = pages.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (keys, pairs), found, hashes = shared.value, Counter(), {}
+        for pdf in it:
+            for site, text in zip(pdf["site"], pdf["text"], strict=True):
+                page = set()
+                for _, line, *_ in leaves(text):
+                    h = hashes.get(line)
+                    if h is None:
+                        if len(hashes) > 100_000:
+                            hashes.clear()
+                        h = hashes[line] = key_hash(_key(_MARK.sub("", line)))
+                    if h in keys:
+                        page.add(h)
+                found.update((False, h) for h in page)
+                found.update((True, x) for x in (pair_hash(site, h) for h in page) if x in pairs)
+        yield pd.DataFrame([(k, h, n) for (k, h), n in found.items()], columns=["pair", "h", "n"])
+
+    src = spread(pages.select(F.coalesce("resource_id", F.lit(-1)).alias("site"), F.col("page_text").alias("text")))
+    rows = src.mapInPandas(run, "pair boolean, h bigint, n bigint").groupBy("pair", "h").agg(F.sum("n").alias("n")).collect()
+    sites = pages.sparkSession.createDataFrame([(s,) for s in {p["site"] for p in sample}], "site bigint")
+    per_site = src.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    found = per_site.join(F.broadcast(sites), "site").collect()
+    total = per_site.agg(F.sum("n")).first()[0] or 0
+    return Recurrence({r["h"]: r["n"] for r in rows if not r["pair"]}, {r["h"]: r["n"] for r in rows if r["pair"]}, total, {r["site"]: r["n"] for r in found})
+
+
+def fit_on(pages: DataFrame, most: int = SAMPLE_PAGES, most_chars: int = FIT_CHARS) -> Network:
+    """Fit on at most ``most`` pages of up to ``most_chars`` characters, drawn by hash of their id."""
+    cols = [F.col("page_text").alias("text"), F.col("page_title").alias("title"), "headings", F.coalesce("resource_id", F.lit(-1)).alias("site")]
+    sample = bounded_sample(pages, F.col("page_id"), most).where(F.length("page_text") <= most_chars).select("page_id", *cols).collect()
+    sample = [r.asDict() for r in sorted(sample, key=lambda r: (r["page_id"], r["text"]))]
+    return fit(sample, known=recurrence(pages, sample))
 
 
 def _judged(it: Iterator[pd.DataFrame], net: Network):

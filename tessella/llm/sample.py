@@ -16,16 +16,19 @@ FIT_CHARS = 50_000
 _PASSAGE = re.compile(r"\S.*?(?:[.!?…](?=\s)|\n|\Z)", re.S)
 
 
-def bounded_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
-    """About ``most`` rows (a tenth more at most, but for chance) drawn by hash of ``key``; all rows if there are fewer.
+def drawn(df: DataFrame, key: Column, most: int) -> Column:
+    """Whether a row is among about ``most`` (a tenth more at most, but for chance) drawn by hash of ``key``; all are if there are fewer.
 
-    The rows are counted first and then filtered where they lie, so neither a sort nor any task's or the
+    The rows are counted first and then judged where they lie, so neither a sort nor any task's or the
     driver's share grows with the table.
     """
     n = df.count()
-    if n <= most:
-        return df
-    return df.where(F.pmod(F.xxhash64(key, F.lit(29)), F.lit(_SPAN)) < int(_SPAN * 1.05 * most / n))
+    return F.lit(True) if n <= most else F.pmod(F.xxhash64(key, F.lit(29)), F.lit(_SPAN)) < int(_SPAN * 1.05 * most / n)
+
+
+def bounded_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """The rows that ``drawn`` picks."""
+    return df.where(drawn(df, key, most))
 
 
 def drawn_passages(text: str | None, most: int) -> str | None:
@@ -49,7 +52,7 @@ def fit_text(text: Column, most: int = FIT_CHARS) -> Column:
     """``drawn_passages`` where the text lies; shorter texts don't leave the JVM's row for it."""
 
     @F.pandas_udf(T.StringType())
-    def drawn(s: pd.Series) -> pd.Series:
+    def cut(s: pd.Series) -> pd.Series:
         return s.map(lambda t: drawn_passages(t, most))
 
-    return F.when(F.length(text) <= most, text).otherwise(drawn(F.when(F.length(text) > most, text)))
+    return F.when(F.length(text) <= most, text).otherwise(cut(F.when(F.length(text) > most, text)))

@@ -107,3 +107,16 @@ def test_frames(spark, net):
 def test_fit_without_pages(spark):
     df = spark.createDataFrame([], "page_id long, page_text string, page_title string, headings array<string>, resource_id long")
     assert b.furniture_lines(df, b.fit_on(df)).count() == 0
+
+
+def test_recurrence_counts_all_pages(spark):
+    r = random.Random(8)
+    every = [page(r, i) for i in range(80)]
+    df = spark.createDataFrame([(i, p["site"] if i % 9 else None, p["text"] if i % 11 else None, None) for i, p in enumerate(every)], "page_id long, resource_id long, page_text string, site string")
+    for i, p in enumerate(every):
+        p["site"], p["text"] = (p["site"] if i % 9 else -1), (p["text"] if i % 11 else None)
+    sample = [p for p in every[:12] if p["text"]]
+    got, want, some = b.recurrence(df, sample), b.counted(every), b.counted(sample)
+    assert got.pages == 80 and got.keys == {k: want.keys[k] for k in some.keys} and got.pairs == {k: want.pairs[k] for k in some.pairs}
+    assert got.sites == {s: want.sites[s] for s in some.sites}
+    assert b.recurrence(df.limit(0), []).pages == 0
