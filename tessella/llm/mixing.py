@@ -8,6 +8,10 @@ same way. Within a shard documents follow in seeded order until the shard's quot
 Shards hold about ``SHARD_DOCS`` documents, so no window covers a whole source, however large. The
 driver sees one row per (source, shard), never a document.
 
+The report gives each source's wanted share (its target over those of the sources that can take part) and the deviation of the actual one.
+A source's tokens differ from its quota by less than one block (the rest that is no whole block) and half a document a shard
+(a document is taken if its middle lies within the quota).
+
 Defined results: documents of a source without target, of null source or without tokens are not
 used; a target without documents gets nothing and is reported; repeated targets add up their shares
 and take the larger cap; a null or negative share counts 0, a null cap 1. Without ``total_tokens`` the mix is
@@ -19,7 +23,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.tokens import bpe_path, with_token_counts
@@ -91,21 +95,32 @@ def mixed(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     goal, shard = quotas(sized, targets, total_tokens)
     q = shard.merge(goal[["source", "passes"]], on="source") if len(shard) else shard.assign(passes=0)
     q = spark.createDataFrame(q[["source", "shard", "quota", "passes"]], "source string, shard int, quota bigint, passes bigint") if len(q) else spark.createDataFrame([], "source string, shard int, quota bigint, passes bigint")
-    # F.sum over a shard's documents in seeded order; the window is bounded by SHARD_DOCS.
-    from pyspark.sql import Window
-
+    # The window is bounded by SHARD_DOCS.
     w = Window.partitionBy("source", "shard").orderBy("ord", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumn("upto", F.sum("n_tokens").over(w)).join(q, ["source", "shard"])
     extra = (F.col("upto") * 2 - F.col("n_tokens") < F.col("quota") * 2).cast("bigint")
     chosen = placed.withColumn("repeats", F.col("passes") + extra).where("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
     chosen = cut_lineage(chosen)
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"), F.max("repeats").alias("most_repeats"))
-    plan = spark.createDataFrame(goal[["source", "target_share", "max_repeats", "docs", "tokens", "quota"]], "source string, target_share double, max_repeats int, docs bigint, tokens bigint, quota bigint")
+    plan = _plan(spark, goal)
     total = got.agg(F.sum("used_tokens").alias("total"))
     report = plan.join(got, "source", "left").join(F.broadcast(total), how="left")  # one row
     used = F.coalesce("used_tokens", F.lit(0))
     report = report.select(
-        "source", "target_share", "max_repeats", "docs", F.col("tokens").alias("available_tokens"), F.col("quota").alias("quota_tokens"),
-        used.alias("used_tokens"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce(used / F.col("total"), F.lit(0.0)).alias("actual_share"),
+        "source", "target_share", "max_repeats", "docs", "available_tokens", "quota_tokens",
+        used.alias("used_tokens"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "wanted_share", F.coalesce(used / F.col("total"), F.lit(0.0)).alias("actual_share"),
     )
-    return chosen, report
+    return chosen, report.withColumn("deviation", F.col("actual_share") - F.col("wanted_share"))
+
+
+def _plan(spark, goal: pd.DataFrame) -> DataFrame:
+    """The apportionment by source, one row per target."""
+    able = goal["target_share"].where((goal["tokens"] > 0) & (goal["max_repeats"] > 0), 0.0)
+    goal = goal.assign(wanted=able / able.sum() if able.sum() else 0.0)
+    rows = goal[["source", "target_share", "max_repeats", "docs", "tokens", "quota", "wanted"]]
+    return spark.createDataFrame(rows, "source string, target_share double, max_repeats int, docs bigint, available_tokens bigint, quota_tokens bigint, wanted_share double")
+
+
+def apportioned(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer: str | None = None, seed: int = SEED) -> DataFrame:
+    """The apportionment alone: source, target_share, max_repeats, docs, available_tokens, quota_tokens, wanted_share."""
+    return _plan(docs.sparkSession, quotas(sized_documents(docs, targets, tokenizer, seed), targets, total_tokens)[0])

@@ -109,6 +109,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_own_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """The apportionment by the project's own tokens, which SQL can count too."""
+    found = mixing.apportioned(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokenizer=tokens.OWN)
+    return found.withColumn("wanted_share", F.round("wanted_share", 9))
+
+
 def _scores(spark: SparkSession, d: str, keep: tuple[str, ...]) -> DataFrame:
     docs = table(spark, d, "documents")
     return abuse.scored(docs, abuse.fit_on(docs, table(spark, d, "doc_labels")), keep)
@@ -128,7 +134,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = [
-        p1_found, p2_found, p2_main_text, p3_found, p3_totals, p3_own_totals, p4_found, p4_pairs, p4_members, p4_groups, p5_found, p5_passages, p6_found, p6_cleaned, p7_found, p7_near, p8_selection, p8_shares, p9_found, p9_scores, p9_rates,
+        p1_found, p2_found, p2_main_text, p3_found, p3_totals, p3_own_totals, p4_found, p4_pairs, p4_members, p4_groups, p5_found, p5_passages, p6_found, p6_cleaned, p7_found, p7_near, p8_selection, p8_shares, p8_own_quotas, p9_found, p9_scores, p9_rates,
     ]
     return {f.__name__: f for f in named}
 
@@ -152,6 +158,9 @@ def _grams(n: int) -> str:
     return f"array_to_string(w[i:i + {n - 1}], ' ')"
 
 
+PAGE_SETS = f"""w as (select page_id, {_words('lower(page_text)')} w from scanned_pages where len({_words('lower(page_text)')}) > 2),
+    u as (select page_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: {_grams(3)}))) s from w),
+    s as (select page_id, s, min(page_id) over (partition by s) rep, count(*) over (partition by s) copies from u)"""
 RECORDS = f"""d as (select source_path, source, len(regexp_extract_all(lower({clean('text')}), '{TOKEN}')) n from documents where source_path is not null),
     p as (select pdf_file_name, clean_text_hash, max(len(regexp_extract_all(lower({clean("replace(page_text, '№', 'No')")}), '{TOKEN}'))) n, min({SITE}) site from scanned_pages where pdf_file_name is not null and clean_text_hash is not null group by 1, 2),
     r as (select record_id, tokens, lower(coalesce(language, '')) language, coalesce(d.n, p.n) n, case when d.n is not null then 'documents' when p.n is not null then 'scanned_pages' end origin, coalesce(case when d.n is not null then d.source else p.site end, 'unknown') "domain"
@@ -176,9 +185,25 @@ def oracle_sql() -> dict[str, str]:
             s as (select distinct page_id, {_grams(3)} g from (select page_id, w, unnest(range(1, len(w) - 1)) i from w)), n as (select page_id, count(*) n from s group by 1),
             b as (select a.page_id page_id_a, b.page_id page_id_b, count(*) both_have from s a join s b on a.g = b.g and a.page_id < b.page_id group by 1, 2)
             select page_id_a, page_id_b from b join n x on x.page_id = page_id_a join n y on y.page_id = page_id_b where both_have >= 0.6 * (x.n + y.n - both_have)""",
-        "p4_members": f"""with w as (select page_id, {_words('lower(page_text)')} w from scanned_pages where len({_words('lower(page_text)')}) > 2),
-            s as (select page_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: {_grams(3)}))) s from w)
-            select page_id, min(page_id) over (partition by s) rep, count(*) over (partition by s) copies from s""",
+        "p4_members": f"with {PAGE_SETS} select page_id, rep, copies from s",
+        "p4_pairs": f"""with {PAGE_SETS}, n as (select page_id, len(s) n from s where page_id = rep), f as (select page_id, unnest(s) g from s where page_id = rep),
+            b as (select x.page_id rep_a, y.page_id rep_b, count(*) both_have from f x join f y on x.g = y.g and x.page_id < y.page_id group by 1, 2)
+            select rep_a, rep_b, round(both_have / (x.n + y.n - both_have), 6) similarity from b join n x on x.page_id = rep_a join n y on y.page_id = rep_b where both_have >= 0.6 * (x.n + y.n - both_have)""",
+        "p4_groups": f"""with recursive {PAGE_SETS}, f as (select page_id, len(s) n, unnest(s) g from s where page_id = rep),
+            b as (select x.page_id a, y.page_id b, count(*) both_have, any_value(x.n) + any_value(y.n) total from f x join f y on x.g = y.g and x.page_id <> y.page_id group by 1, 2),
+            e as (select a, b from b where both_have >= 0.6 * (total - both_have)),
+            r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a), g as (select a, least(a, min(b)) g from r group by a)
+            select p.page_id, coalesce(g.g, s.rep, p.page_id) group_id, coalesce(s.copies, 1) copies from scanned_pages p left join s on s.page_id = p.page_id left join g on g.a = s.rep""",
+        "p8_own_quotas": f"""with t as (select source, sum(greatest(coalesce(target_share, 0), 0)) target_share, max(greatest(coalesce(max_repeats, 1), 0)) max_repeats from mix_targets where source is not null group by 1),
+            c as (select source, len(regexp_extract_all(lower({clean('text')}), '{TOKEN}')) n from documents),
+            h as (select t.*, coalesce(docs, 0) docs, coalesce(tokens, 0) tokens, row_number() over (order by source) i from t left join (select source, count(*) docs, sum(n)::bigint tokens from c where n > 0 group by 1) using (source)),
+            a as (select *, target_share / sum(target_share) over () share from h where tokens > 0 and target_share > 0 and max_repeats > 0),
+            w as (select least(floor(min(max_repeats * tokens / share)), sum(max_repeats * tokens))::bigint total from a),
+            z as (select total, greatest(1, total // 20000) block, total // greatest(1, total // 20000) blocks from w),
+            k as (select source, i, target_share, unnest(range(0, least(max_repeats * tokens // block, blocks)::bigint)) k from a, z),
+            m as (select source, count(*) won from (select *, row_number() over (order by target_share / (2 * k + 1) desc, i) rn from k), z where rn <= blocks group by 1)
+            select h.source, h.target_share, h.max_repeats, h.docs, h.tokens available_tokens, (coalesce(won, 0) * block)::bigint quota_tokens, round(coalesce(a.share, 0), 9) wanted_share
+            from h cross join z left join m on m.source = h.source left join a on a.source = h.source""",
         "p6_found": f"""
             with l as (select page_id, {SITE} site, unnest(string_split(page_text, chr(10))) line from scanned_pages),
             k as (select distinct site, page_id, {LINE_KEY} line_key from l),

@@ -42,6 +42,12 @@ def test_mix(spark, monkeypatch):
     for s, want in (("a", 0.5 / 0.9), ("hot", 0.3 / 0.9), ("b", 0.1 / 0.9)):
         assert abs(rep[s].actual_share - want) < 0.02
         assert rep[s].used_tokens == sum(r.n_tokens * r.repeats for r in got if r.source == s)
+    block = max(1, sum(r.quota_tokens for r in rep.values()) // mixing.BLOCKS)
+    for r in rep.values():  # less than a block, and half a document a shard
+        longest = max((x.n_tokens for x in got if x.source == r.source), default=0)
+        assert abs(r.used_tokens - r.quota_tokens) <= block + (r.docs // 100 + 1) * longest / 2
+        assert abs(r.deviation - (r.actual_share - r.wanted_share)) < 1e-12
+    assert abs(sum(r.wanted_share for r in rep.values()) - 1) < 1e-9
     assert sorted(map(tuple, mixing.mixed(docs, targets)[0].collect())) == sorted(map(tuple, got))  # seeded
     other = {r.doc_id for r in mixing.mixed(docs, targets, seed=5)[0].collect()}
     assert other != {r.doc_id for r in got}
