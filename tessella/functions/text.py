@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +26,9 @@ _BLANKS = re.compile(r"[^\S\n]+")
 _BEFORE_NEWLINE = re.compile(r"\s+\n")
 _MANY_NEWLINES = re.compile(r"\n{3,}")
 _TOKEN = re.compile(r"\b\w[\w\-]+\b")
+_TOKEN3 = re.compile(r"\w[\w\-]+\w")
+# Length and overlap of the fixed windows.
+CHUNK, OVERLAP = 600, 120
 
 
 def clean_text(text: str | None) -> str:
@@ -47,6 +51,18 @@ def clean(text: pd.Series) -> pd.Series:
     return text.map(clean_text)
 
 
+# Marked so that no filter on the result is pushed below it, which would clean every text twice.
+clean = clean.asNondeterministic()
+TERMS = T.StructType().add("terms", T.ArrayType(T.StringType())).add("n", T.ArrayType(T.IntegerType()))
+
+
+@F.pandas_udf(TERMS)
+def term_counts(text: pd.Series) -> pd.DataFrame:
+    """Different tokens of three or more word characters in lower case, and how often each stands."""
+    rows = [Counter(_TOKEN3.findall(t.lower())) if t else {} for t in text]
+    return pd.DataFrame({"terms": [list(c) for c in rows], "n": [list(c.values()) for c in rows]})
+
+
 def tokenize(c: Column) -> Column:
     """Lower-case tokens of two or more word characters, inner hyphens kept."""
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
@@ -56,7 +72,7 @@ def tokenize3(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN3), F.lit(0))
 
 
-def chunk(c: Column, size: int = 600, overlap: int = 120) -> Column:
+def chunk(c: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
     """Fixed windows; a text no longer than ``size`` is one chunk, an empty text none."""
     step = max(size - overlap, 1)
     last = F.greatest(F.lit(0), F.ceil((F.length(c) - size) / F.lit(float(step)))).cast("int")

@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 DOWNLOADS = ("pdf", "docx", "pptx", "xlsx")
 MEDIA = ("mp4", "avi", "mov")
 SHARES = ("yadi.sk", "disk.yandex.ru")
+# Patterns of shared-drive addresses and of a download page's token; lengths of a link's texts.
+DRIVE_QUERY, DRIVE_PATH, CONFIRM = r"[?&]id=([^&#]+)", r"/d/([^/?#]+)", r"confirm=([0-9A-Za-z_]+)&"
+ANCHOR, SNIPPET = 150, 200
 
 
 def without_fragment(url: Column) -> Column:
@@ -46,14 +49,19 @@ def domain_slug(url: Column) -> Column:
     return F.replace(authority(url), F.lit("."), F.lit("_"))
 
 
+def url_path(url: Column) -> Column:
+    """The path of an address without parameters; '' for a bare host."""
+    return F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*", "")
+
+
 def drive_id(url: Column) -> Column:
     """File id of a shared-drive link: the ``id`` parameter, else the segment after ``/d/``."""
-    query = F.regexp_extract(url, r"[?&]id=([^&#]+)", 1)
-    return F.coalesce(F.nullif(query, F.lit("")), F.nullif(F.regexp_extract(url, r"/d/([^/?#]+)", 1), F.lit("")))
+    query = F.regexp_extract(url, DRIVE_QUERY, 1)
+    return F.coalesce(F.nullif(query, F.lit("")), F.nullif(F.regexp_extract(url, DRIVE_PATH, 1), F.lit("")))
 
 
 def confirm_token(html: Column) -> Column:
-    return F.nullif(F.regexp_extract(html, r"confirm=([0-9A-Za-z_]+)&", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(html, CONFIRM, 1), F.lit(""))
 
 
 def file_name(url: Column) -> Column:
@@ -89,46 +97,60 @@ def safe_file_name(c: Column) -> Column:
 
 
 class _Page(HTMLParser):
+    """Collects visible text, h1-h3, title, and links with the text of the element around them."""
+
     HIDDEN = {"script", "style", "template"}
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.text, self.heads, self.links, self.open, self.hidden, self.title = [], [], [], [], 0, None
-        self.blocks: list[list[str]] = []
+        self.text, self.heads, self.found, self.hidden, self.title = [], [], [], 0, None
+        self.open: list[tuple[str, dict, list[str], list[dict]]] = [("", {}, [], [])]
 
     def handle_starttag(self, tag, attrs):
         if tag in self.HIDDEN:
             self.hidden += 1
-        elif tag in ("h1", "h2", "h3", "a", "title"):
-            self.open.append((tag, dict(attrs).get("href"), []))
+        elif tag not in self.VOID:
+            self.open.append((tag, dict(attrs), [], []))
 
     def handle_endtag(self, tag):
         if tag in self.HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-            return
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                _, href, parts = self.open.pop(i)
-                s = "".join(parts).strip()
-                if tag == "title":
-                    self.title = s
-                elif tag == "a":
-                    if href:
-                        self.links.append({"href": href, "anchor": s[:150]})
-                else:
-                    self.heads.append(s)
-                break
+        elif any(o[0] == tag for o in self.open[1:]):
+            while self._close() != tag:
+                pass
+
+    def _close(self) -> str:
+        """End the innermost element; its text goes on to its parent, and the links within learn their snippet."""
+        tag, attrs, parts, links = self.open.pop()
+        whole = "".join(parts).strip()
+        for x in links:
+            x["snippet"] = " ".join(p.strip() for p in parts if p.strip())[:SNIPPET]
+        if tag == "title" and self.title is None:
+            self.title = whole
+        elif tag in ("h1", "h2", "h3"):
+            self.heads.append(whole)
+        elif tag == "a" and attrs.get("href"):
+            link = {"href": attrs["href"], "anchor": "".join(p.strip() for p in parts)[:ANCHOR], "snippet": ""}
+            self.found.append(link)
+            self.open[-1][3].append(link)
+        self.open[-1][2].extend(parts)
+        return tag
 
     def handle_data(self, data):
-        if self.hidden:
-            return
-        for _, _, parts in self.open:
-            parts.append(data)
-        if data.strip():
-            self.text.append(data.strip())
+        if not self.hidden:
+            self.open[-1][2].append(data)
+            if data.strip():
+                self.text.append(data.strip())
 
+    def finish(self) -> None:
+        while len(self.open) > 1:
+            self._close()
+        for x in self.open[0][3]:
+            x["snippet"] = " ".join(p.strip() for p in self.open[0][2] if p.strip())[:SNIPPET]
 
-_LINK = T.StructType().add("href", T.StringType()).add("anchor", T.StringType())
+
+_LINK = T.StructType().add("href", T.StringType()).add("anchor", T.StringType()).add("snippet", T.StringType())
 PAGE = T.StructType().add("title", T.StringType()).add("headings", T.ArrayType(T.StringType())).add("text", T.StringType()).add("links", T.ArrayType(_LINK))
 
 
@@ -141,7 +163,8 @@ def parse_page(html: pd.Series) -> pd.DataFrame:
         if h:
             p.feed(h)
             p.close()
-        rows.append((p.title, p.heads, "\n".join(p.text) if h else None, p.links))
+            p.finish()
+        rows.append((p.title, p.heads, "\n".join(p.text) if h else None, p.found))
     return pd.DataFrame(rows, columns=["title", "headings", "text", "links"])
 
 
@@ -174,3 +197,8 @@ def numbered_list(c: Column) -> Column:
     for pattern, to in LIST_RULES:
         c = F.regexp_replace(c, pattern, to)
     return c
+
+
+def is_identifier(c: Column) -> Column:
+    """A name that can stand in a statement: a letter or underscore, then letters, digits and underscores, outer spaces aside."""
+    return F.regexp_like(F.trim(F.coalesce(c, F.lit(""))), F.lit(r"\A[A-Za-z_][A-Za-z0-9_]*\z"))

@@ -50,7 +50,10 @@ def similar_lookup(state: DataFrame, asked: DataFrame, threshold: float = THRESH
     """
     entry = state.withColumn("embedding", filled(F.col("embedding"))).where("embedding is not null").select("id", "model_key", "embedding", "created_at")
     keys = asked.select(model_key(F.col("model")).alias("want")).distinct()
-    scope = keys.join(entry, (F.col("model_key") == F.col("want")) | (F.col("model_key") == ""))
+    own = keys.join(entry, F.col("want") == F.col("model_key"))
+    w0 = Window.partitionBy("model_key").orderBy(F.desc("created_at"), F.desc("id"))
+    blank = entry.where("model_key = ''").withColumn("rn", F.row_number().over(w0)).where(F.col("rn") <= scan).drop("rn")
+    scope = own.unionByName(keys.where("want <> ''").join(F.broadcast(blank)))  # ``scan`` rows
     w = Window.partitionBy("want").orderBy(F.desc("created_at"), F.desc("id"))
     scope = scope.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= scan)
     ask = asked.select("ask_id", model_key(F.col("model")).alias("want"), F.col("embedding").alias("q"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import web
-from tessella.session import cut_lineage
+from tessella.session import cut_lineage, release
 
 
 def url_columns(pages: DataFrame, url: str = "page_url") -> DataFrame:
@@ -43,25 +43,40 @@ def html_catalog(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("_p", web.parse_page(F.col(html))).select(*pages.columns, "_p.*")
 
 
-def distinct_files(chunks: DataFrame, source: str = "source", cap: int = 100_000) -> DataFrame:
-    """Sorted different sources of the first ``cap`` chunks (the cap is the operator's own)."""
-    return chunks.select(source).limit(cap).where(F.coalesce(source, F.lit("")) != "").distinct().orderBy(source)
+def distinct_files(chunks: DataFrame, source: str = "source", cap: int | None = None) -> DataFrame:
+    """Sorted different sources of all chunks; with ``cap`` of the first ``cap`` chunks by id only."""
+    taken = chunks if cap is None else chunks.orderBy(chunks.columns[0]).limit(cap)
+    return taken.select(source).where(F.coalesce(source, F.lit("")) != "").distinct().orderBy(source)
 
 
-def crawl_order(seeds: DataFrame, edges: DataFrame, max_depth: int = 20) -> DataFrame:
+def crawl_order(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, max_pages: int | None = None, failed: DataFrame | None = None) -> DataFrame:
     """(url, depth): breadth-first frontier over an edge table (url, link); media links are not visited.
 
-    Each level is an anti-join with what was visited, cut by a reliable checkpoint.
+    ``max_pages`` keeps the first pages by depth and address. The addresses of ``failed`` (url) count as visited but lead nowhere, and
+    addresses that hold the path of a failed page seen at an earlier depth are skipped. Each level is an anti-join with what was
+    visited, cut by a written table.
     """
-    level = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    seen = cut_lineage(level)
-    front = seen
-    for d in range(1, max_depth + 1):
-        nxt = front.join(edges, "url").select(F.col("link").alias("url")).where(F.col("url").isNotNull() & ~web.is_media(F.col("url"))).distinct().join(seen, "url", "left_anti")
-        front = cut_lineage(nxt.withColumn("depth", F.lit(d)))
-        if front.isEmpty():
+    seen = front = cut_lineage(seeds.select("url").where(~web.is_media(F.col("url"))).distinct().withColumn("depth", F.lit(0)))
+    d, total = 0, seen.count()
+    while (max_depth is None or d < max_depth) and (max_pages is None or total < max_pages):
+        d += 1
+        alive = front if failed is None else front.join(failed.select("url").distinct(), "url", "left_anti")
+        nxt = alive.join(edges, "url").select(F.col("link").alias("url")).where(F.col("url").isNotNull() & ~web.is_media(F.col("url"))).distinct().join(seen.select("url"), "url", "left_anti")
+        if failed is not None:
+            bad = seen.join(failed.select("url").distinct(), "url", "left_semi").select(web.url_path(F.col("url")).alias("bad")).where("bad <> ''").distinct()
+            nxt = nxt.join(F.broadcast(bad), F.contains(F.col("url"), F.col("bad")), "left_anti")  # the few paths that failed
+        nxt = nxt.withColumn("depth", F.lit(d))
+        if max_pages is not None:
+            nxt = nxt.orderBy("url").limit(max_pages - total)
+        front = cut_lineage(nxt)
+        new = front.count()
+        if not new:
+            release(front)
             break
-        seen = cut_lineage(seen.unionByName(front))
+        grown = cut_lineage(seen.unionByName(front))
+        if seen is not front:
+            release(seen)
+        seen, total = grown, total + new
     return seen
 
 

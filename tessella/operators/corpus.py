@@ -7,14 +7,22 @@ metrics over nothing are 0.0.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import chunk, clean, content_hash, has_non_ascii, tokenize, tokenize3
+from tessella.functions.text import CHUNK, OVERLAP, clean, content_hash, has_non_ascii, term_counts, tokenize
+from tessella.operators.quantiles import profile
+from tessella.session import cut_lineage
 
 SHORT_TOKENS, LONG_TOKENS = 200, 4000
 TOP_TERMS, TFIDF_FEATURES, TFIDF_MIN_DF = 50, 2000, 2
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
+# Groups of equal contents up to which their hashes are broadcast (about 100 bytes each); beyond it that join is shuffled.
+BROADCAST_GROUPS = 500_000
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -38,9 +46,38 @@ def canonical_ids(clean_docs: DataFrame) -> DataFrame:
 
 
 def canonical(clean_docs: DataFrame) -> DataFrame:
-    """One row per content, that of its first document; texts of a content are equal, so any of them serves."""
-    first = F.min(F.struct("doc_id", "lang"))
-    return non_empty(clean_docs).groupBy("hash").agg(first.alias("f"), F.first("clean").alias("clean")).select("hash", "f.doc_id", "f.lang", "clean")
+    """One row per content, that of its first document (hash, doc_id, lang, clean); no text is shuffled.
+
+    Contents that occur once pass; of the others the row of the first document is kept, against the hashes of the repeated contents only.
+    Rows that repeat a document id with its content count once.
+    """
+    rows = non_empty(clean_docs)
+    once = rows.groupBy("hash", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    multi = once.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.sum("n").alias("copies"), F.max("n").alias("same")).where("copies > 1")
+    multi = cut_lineage(multi)
+    known = multi.select("hash", "first_id")
+    if multi.count() <= BROADCAST_GROUPS:
+        known = F.broadcast(known)
+    kept = rows.join(known, "hash", "left").where("first_id is null or first_id = doc_id").select("hash", "doc_id", "lang", "clean")
+    return kept if multi.where("same > 1").isEmpty() else kept.dropDuplicates(["hash"])
+
+
+def measured(clean_docs: DataFrame) -> DataFrame:
+    """(hash, doc_id, lang, copies, chars, tokens, chunks, non_ascii) of each content, the empty one too, in one pass; no text leaves the scan."""
+    text = F.col("clean")
+    chars = F.length(text)
+    per = clean_docs.select(
+        "hash", "doc_id", "lang", chars.cast("bigint").alias("chars"), F.size(tokenize(text)).cast("bigint").alias("tokens"),
+        F.when(chars > 0, 1 + F.greatest(F.lit(0), F.ceil((chars - CHUNK) / F.lit(float(CHUNK - OVERLAP))))).otherwise(0).cast("bigint").alias("chunks"), has_non_ascii(text).alias("non_ascii"),
+    )
+    same = [F.max(c).alias(c) for c in ("chars", "tokens", "chunks", "non_ascii")]
+    one = per.groupBy("hash").agg(F.min(F.struct("doc_id", "lang")).alias("f"), F.count(F.lit(1)).alias("copies"), *same)
+    return one.select("hash", "f.doc_id", "f.lang", "copies", "chars", "tokens", "chunks", "non_ascii")
+
+
+def unique_measures(clean_docs: DataFrame) -> DataFrame:
+    """``measured`` of the contents that are not empty."""
+    return measured(clean_docs).where("chars > 0")
 
 
 def duplicate_groups(clean_docs: DataFrame, top: int = 10, examples: int = 5) -> DataFrame:
@@ -64,35 +101,23 @@ def language_share(unique: DataFrame) -> DataFrame:
 
 
 def lengths(unique: DataFrame) -> DataFrame:
-    """(doc_id, chars, tokens, chunks, non_ascii) of each document."""
-    return unique.select(
-        "doc_id",
-        F.length("clean").cast("bigint").alias("chars"),
-        F.size(tokenize(F.col("clean"))).cast("bigint").alias("tokens"),
-        F.size(chunk(F.col("clean"))).cast("bigint").alias("chunks"),
-        has_non_ascii(F.col("clean")).alias("non_ascii"),
-    )
+    """(doc_id, chars, tokens, chunks, non_ascii) of ``unique_measures``."""
+    return unique.select("doc_id", "chars", "tokens", "chunks", "non_ascii")
+
+
+def _described(rows: DataFrame, *first) -> DataFrame:
+    names = [f"p{round(x * 100)}" for x in QUANTILES]
+    return rows.select(*first, "n", "min", "max", F.round("mean", 6).alias("mean"), *[F.round(F.col("q")[i], 6).alias(x) for i, x in enumerate(names)])
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """One row: count, min, max, mean and quantiles by linear interpolation; no row for no values."""
-    q = F.percentile(column, F.array(*map(F.lit, QUANTILES)))
-    row = df.agg(F.count(column).alias("n"), F.min(column).cast("double").alias("min"), F.max(column).cast("double").alias("max"), F.avg(column).alias("mean"), q.alias("q"))
-    names = [f"p{round(x * 100)}" for x in QUANTILES]
-    return row.where("n > 0").select("n", "min", "max", F.round("mean", 6).alias("mean"), *[F.round(F.col("q")[i], 6).alias(x) for i, x in enumerate(names)])
+    return _described(profile(df, (column,), QUANTILES))
 
 
-def describe_all(measured: DataFrame, columns: tuple[str, ...] = ("chars", "tokens", "chunks")) -> DataFrame:
+def describe_all(rows: DataFrame, columns: tuple[str, ...] = ("chars", "tokens", "chunks")) -> DataFrame:
     """``describe`` of several columns in one pass, one row each."""
-    q = F.array(*map(F.lit, QUANTILES))
-    parts = [
-        F.struct(F.count(c).alias("n"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).alias("mean"), F.percentile(c, q).alias("q")).alias(c)
-        for c in columns
-    ]
-    row = measured.agg(*parts).select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("d")) for c in columns])).alias("x"))
-    names = [f"p{round(x * 100)}" for x in QUANTILES]
-    d = F.col("x.d")
-    return row.where(d["n"] > 0).select("x.measure", *[d[c].alias(c) for c in ("n", "min", "max")], F.round(d["mean"], 6).alias("mean"), *[F.round(d["q"][i], 6).alias(x) for i, x in enumerate(names)])
+    return _described(profile(rows, columns, QUANTILES), "measure")
 
 
 def vocabulary(unique: DataFrame) -> DataFrame:
@@ -113,16 +138,31 @@ def tfidf_top(unique: DataFrame, top: int = TOP_TERMS, features: int = TFIDF_FEA
     """(term, score): mean TF-IDF over documents.
 
     Raw counts, smooth idf ln((1 + n) / (1 + df)) + 1, rows scaled to length one after the vocabulary is cut to the
-    ``features`` terms of the highest corpus frequency (ties by term). The vocabulary is the bounded broadcast side.
+    ``features`` terms of the highest corpus frequency (ties by term). A document's terms are counted where it is read and written as one row;
+    the second pass knows the ``features`` weights and leaves one sum per term and task.
     """
-    tf = unique.select("doc_id", F.explode(tokenize3(F.col("clean"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    kept = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
-    kept = kept.orderBy(F.desc("cf"), "term").limit(features)
-    n = unique.agg(F.count(F.lit(1)).alias("n"))
-    idf = kept.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "n")
-    weighed = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    score = weighed.join(norm, "doc_id").groupBy("term").agg((F.sum(F.col("w") / F.col("norm")) / F.first("n")).alias("score"))
+    tf = cut_lineage(unique.select(term_counts(F.col("clean")).alias("x")).select("x.terms", "x.n"))
+    each = tf.select(F.explode(F.arrays_zip("terms", "n")).alias("x")).select(F.col("x.terms").alias("term"), "x.n")
+    kept = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf")).where(F.col("df") >= min_df)
+    total = tf.count()
+    rows = kept.orderBy(F.desc("cf"), "term").limit(features).collect()
+    idf = {r["term"]: float(np.log((1 + total) / (1 + r["df"])) + 1) for r in rows}
+    shared = unique.sparkSession.sparkContext.broadcast((list(idf), {t: i for i, t in enumerate(idf)}, np.array(list(idf.values()))))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, at, weight = shared.value
+        sums = np.zeros(len(names))
+        for pdf in it:
+            for terms, n in zip(pdf["terms"], pdf["n"], strict=True):
+                hit = [(at[t], c) for t, c in zip(terms, n, strict=True) if t in at]
+                if hit:
+                    i, c = map(np.array, zip(*hit, strict=True))
+                    w = c * weight[i]
+                    sums[i] += w / np.sqrt((w * w).sum())
+        if sums.any():
+            yield pd.DataFrame({"term": np.array(names, dtype=object)[sums > 0], "s": sums[sums > 0]})
+
+    score = tf.mapInPandas(run, "term string, s double").groupBy("term").agg((F.sum("s") / max(total, 1)).alias("score"))
     return score.orderBy(F.desc(F.round("score", 9)), "term").limit(top).select("term", F.round("score", 6).alias("score"))
 
 
@@ -146,34 +186,23 @@ def term_sets(vocab: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def chunk_lengths(unique: DataFrame) -> DataFrame:
-    """(doc_id, chunk_no, chunk_chars) of the fixed windows."""
-    return unique.select("doc_id", F.posexplode(chunk(F.col("clean"))).alias("chunk_no", "chunk")).select("doc_id", "chunk_no", F.length("chunk").cast("bigint").alias("chunk_chars"))
+    """(doc_id, chunk_no, chunk_chars) of the fixed windows; ``unique`` has doc_id, chars and chunks."""
+    step = CHUNK - OVERLAP
+    rows = unique.where("chunks > 0").select("doc_id", "chars", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk_no"))
+    return rows.select("doc_id", "chunk_no", F.least(F.lit(CHUNK), F.col("chars") - F.col("chunk_no") * step).cast("bigint").alias("chunk_chars"))
 
 
 def quality_metrics(clean_docs: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """(metric, value): the corpus quality metrics in one row set; every ratio over nothing is 0.0.
 
-    ``records`` (content_hash, output_path) give saved and linked texts; without them both are 0.
+    ``records`` (content_hash, output_path) give saved and linked texts; without them both are 0. The texts are read twice:
+    for the measures of each content, and for the different terms (equal contents add none, so all documents serve).
     """
-    unique = canonical(clean_docs)
-    length = lengths(unique)
-    per = length.agg(
-        F.count(F.lit(1)).alias("unique"), F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"), F.sum("chunks").alias("chunks"),
-        F.count_if(F.col("tokens") <= SHORT_TOKENS).alias("short"), F.count_if(F.col("tokens") >= LONG_TOKENS).alias("long"), F.count_if("non_ascii").alias("non_ascii"),
-    )
-    base = clean_docs.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("clean") == "").alias("errors"))
-    ids = canonical_ids(clean_docs)
-    dup = ids.agg(F.sum(F.col("copies") - 1).alias("duplicates"), F.max(F.when(F.col("copies") > 1, F.col("copies"))).alias("largest"))
-    lang = unique.groupBy(F.coalesce("lang", F.lit("unknown"))).count().agg(F.max("count").alias("dominant"))
-    vocab = vocabulary(unique).agg(F.count(F.lit(1)).alias("types"))
-    if records is None:
-        link = base.select(F.lit(0).alias("saved"), F.lit(0).alias("linked"))
-    else:
-        known = records.groupBy(F.col("content_hash").alias("hash")).agg(F.max(F.col("output_path").isNotNull()).alias("saved"))
-        link = ids.join(known, "hash").agg(F.count_if("saved").alias("saved"), F.count(F.lit(1)).alias("linked"))
-    row = per
-    for one in (base, dup, lang, vocab, link):  # frames of one row
-        row = row.join(F.broadcast(one))
+    return metrics_of(corpus_counts(clean_docs, records))
+
+
+def metrics_of(row: DataFrame) -> DataFrame:
+    """(metric, value) from the row of ``corpus_counts``."""
     ratio = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
     gap = F.greatest(F.col("saved") - F.col("linked"), F.lit(0))
     values = {
@@ -190,6 +219,29 @@ def quality_metrics(clean_docs: DataFrame, records: DataFrame | None = None) ->
     return row.select(F.explode(pairs).alias("x")).select("x.metric", "x.value")
 
 
+def corpus_counts(clean_docs: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """One row of the counts behind the quality metrics."""
+    every = cut_lineage(measured(clean_docs))
+    full = F.col("chars") > 0
+    row = every.agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("processed"), F.coalesce(F.sum(F.when(~full, F.col("copies"))), F.lit(0)).alias("errors"), F.count_if(full).alias("unique"),
+        F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"), F.sum("chunks").alias("chunks"), F.count_if(full & (F.col("tokens") <= SHORT_TOKENS)).alias("short"),
+        F.count_if(full & (F.col("tokens") >= LONG_TOKENS)).alias("long"), F.count_if("non_ascii").alias("non_ascii"),
+        F.sum(F.when(full, F.col("copies") - 1)).alias("duplicates"), F.max(F.when(full & (F.col("copies") > 1), F.col("copies"))).alias("largest"),
+    )
+    unique = every.where(full)
+    lang = unique.groupBy(F.coalesce("lang", F.lit("unknown")).alias("lang")).count().agg(F.max("count").alias("dominant"))
+    types = non_empty(clean_docs).select(F.explode(tokenize(F.col("clean"))).alias("term")).distinct().agg(F.count(F.lit(1)).alias("types"))
+    if records is None:
+        link = unique.limit(1).agg(F.lit(0).alias("saved"), F.lit(0).alias("linked"))
+    else:
+        known = records.groupBy(F.col("content_hash").alias("hash")).agg(F.max(F.col("output_path").isNotNull()).alias("saved"))
+        link = unique.select("hash").join(known, "hash").agg(F.count_if("saved").alias("saved"), F.count(F.lit(1)).alias("linked"))
+    for one in (lang, types, link):  # frames of one row
+        row = row.join(F.broadcast(one))
+    return row
+
+
 def classification_summary(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """(field, value, total) of several columns in one pass; null counts as 'unknown'."""
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value")) for c in columns])
@@ -198,10 +250,8 @@ def classification_summary(df: DataFrame, columns: tuple[str, ...]) -> DataFrame
 
 def document_details(clean_docs: DataFrame, records: DataFrame) -> DataFrame:
     """(doc_id, hash, chars, tokens, linked): unique documents with a mark whether a record knows their content."""
-    unique = canonical(clean_docs)
     known = records.select(F.col("content_hash").alias("hash"), F.lit(True).alias("linked")).distinct()
-    size = unique.select("hash", "doc_id", F.length("clean").cast("bigint").alias("chars"), F.size(tokenize(F.col("clean"))).cast("bigint").alias("tokens"))
-    return size.join(known, "hash", "left").select("doc_id", "hash", "chars", "tokens", F.coalesce("linked", F.lit(False)).alias("linked"))
+    return unique_measures(clean_docs).join(known, "hash", "left").select("doc_id", "hash", "chars", "tokens", F.coalesce("linked", F.lit(False)).alias("linked"))
 
 
 def link_catalog(records: DataFrame, files: DataFrame, pages: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.text import py_strip
+from tessella.functions.web import request_text
+from tessella.operators.quantiles import profile
+
 HISTORY = 200
 
 
@@ -12,21 +16,40 @@ def history(log: DataFrame, n: int = HISTORY) -> DataFrame:
     return log.orderBy(F.desc("id")).limit(n)
 
 
+# What is told of each measure.
+MEASURES = {"duration_ms": ("duration", True, (0.5, 0.95, 0.99)), "text_len": ("text_len", True, (0.5,)), "token_count": ("token_count", True, ()), "image_width": ("image_width", True, (0.5,)), "image_height": ("image_height", False, (0.5,))}
+QS = (0.5, 0.95, 0.99)
+
+
 def stats(log: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Counts, means and linear percentiles; nulls are passed over, no values give null."""
-    q = lambda c, p: F.round(F.percentile(c, F.lit(p)), 6)
-    return log.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.round(F.avg("duration_ms"), 6).alias("duration_mean"), q("duration_ms", 0.5).alias("duration_p50"), q("duration_ms", 0.95).alias("duration_p95"), q("duration_ms", 0.99).alias("duration_p99"),
-        F.round(F.avg("text_len"), 6).alias("text_len_mean"), q("text_len", 0.5).alias("text_len_p50"),
-        F.round(F.avg("token_count"), 6).alias("token_count_mean"),
-    )
+    """Counts, means and linear percentiles; nulls are passed over, no values give null. Columns the log lacks give null as well."""
+    have = tuple(c for c in MEASURES if c in log.columns)
+    told = profile(log, have, QS, by)
+    cell = lambda c, v: F.round(F.max(F.when(F.col("measure") == c, v)), 6)
+    cells = []
+    for c, (name, mean, qs) in MEASURES.items():
+        cells += [cell(c, F.col("mean")).alias(f"{name}_mean")] * mean + [cell(c, F.col("q")[QS.index(x)]).alias(f"{name}_p{round(x * 100)}") for x in qs]
+    count = log.groupBy(*by).agg(F.count(F.lit(1)).alias("requests"))
+    wide = told.groupBy(*by).agg(*cells)
+    names = [x for x in wide.columns if x not in by]
+    if not by:
+        return count.join(F.broadcast(wide), how="left").select("requests", *names)  # one row each
+    wide = wide.withColumnsRenamed({b: f"_{b}" for b in by})
+    on = [count[b].eqNullSafe(wide[f"_{b}"]) for b in by]
+    return count.join(wide, on, "left").select(*by, "requests", *names)
+
+
+def parsed(bodies: DataFrame, body: str = "body", kind: str = "content_type") -> DataFrame:
+    """``bodies`` with text and status: the ``text`` or ``question`` of a JSON body or of a form; 400 where there is none."""
+    raw = F.col(body)
+    form = F.str_to_map(F.coalesce(raw, F.lit("")), F.lit("&"), F.lit("="))
+    field = lambda k: F.nullif(F.try_url_decode(F.replace(form[k], F.lit("+"), F.lit("%20"))), F.lit(""))
+    text = F.when(F.contains(F.coalesce(kind, F.lit("")), F.lit("json")), request_text(raw)).otherwise(F.coalesce(field("text"), field("question")))
+    return bodies.withColumn("text", F.nullif(py_strip(text), F.lit(""))).withColumn("status", F.when(F.col("text").isNull(), 400).otherwise(200))
 
 
 def request_rows(cached: DataFrame) -> DataFrame:
     """Log rows of cached questions: lengths of the stripped text, model with default, preview of the answer."""
-    from tessella.functions.text import py_strip
-
     text = py_strip(F.coalesce("question", F.lit("")))
     words = F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
     return cached.select("id", F.length(text).cast("bigint").alias("text_len"), F.size(words).cast("bigint").alias("token_count"), F.coalesce(F.nullif("model", F.lit("")), F.lit("deepseek")).alias("model"), F.left("answer", F.lit(200)).alias("response_preview"))

@@ -29,6 +29,10 @@ def _unique(s: SparkSession, d: str) -> DataFrame:
     return corpus.canonical(_clean(s, d))
 
 
+def _measures(s: SparkSession, d: str) -> DataFrame:
+    return corpus.unique_measures(_clean(s, d))
+
+
 def corpus_clean_stats(s, d):
     docs = spread(table(s, d, "documents")).select(F.coalesce("text", F.lit("")).alias("t"), text.clean(F.coalesce("text", F.lit(""))).alias("c"))
     return docs.agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("c") == "").alias("empty"), F.count_if(F.col("c") != F.col("t")).alias("changed"), F.sum(F.length("c")).alias("chars"))
@@ -47,15 +51,15 @@ def corpus_errors(s, d):
 
 
 def corpus_language_share(s, d):
-    return corpus.language_share(_unique(s, d))
+    return corpus.language_share(_measures(s, d))
 
 
 def corpus_doc_lengths(s, d):
-    return corpus.lengths(_unique(s, d))
+    return corpus.lengths(_measures(s, d))
 
 
 def corpus_length_describe(s, d):
-    return corpus.describe_all(corpus.lengths(_unique(s, d)))
+    return corpus.describe_all(_measures(s, d))
 
 
 def corpus_vocabulary_top50(s, d):
@@ -87,7 +91,7 @@ def corpus_term_sets(s, d):
 
 
 def corpus_chunks(s, d):
-    return corpus.chunk_lengths(_unique(s, d))
+    return corpus.chunk_lengths(_measures(s, d))
 
 
 def corpus_chunk_stats(s, d):
@@ -192,8 +196,7 @@ def _similarities(s, d):
 
 
 def answer_similarity_summary(s, d):
-    r = lambda c: F.round(c, 6)
-    return _similarities(s, d).agg(F.count(F.lit(1)).alias("answers"), F.count("ref_sim").alias("n_ref"), r(F.avg("ref_sim")).alias("avg_ref_sim"), r(F.avg("refs_sim")).alias("avg_refs_sim"), r(F.median("ref_sim")).alias("median_ref_sim"), r(F.stddev_samp("ref_sim")).alias("std_ref_sim"))
+    return retrieval.similarity_means(_similarities(s, d))
 
 
 def similarity_histogram(s, d):
@@ -322,12 +325,8 @@ def files_coerce(s, d):
 
 def word_overlap_scores(s, d):
     """Containment or word overlap of each gold item's references with its answer."""
-    gold = table(s, d, "eval_set_gold_manual").select("item_id", F.lower("answer_ref").alias("a"), F.explode("refs").alias("r"))
-    words = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")
-    a, r = F.coalesce("a", F.lit("")), F.lower(F.coalesce("r", F.lit("")))
-    part = F.size(F.array_intersect(F.array_distinct(words(a)), F.array_distinct(words(r)))) / F.greatest(F.size(words(a)), F.lit(1))
-    score = F.when(r == "", 0.0).when(F.contains(r, a) | F.contains(a, r), 1.0).otherwise(part)
-    return gold.groupBy("item_id").agg(F.round(F.max(score), 6).alias("score"))
+    gold = table(s, d, "eval_set_gold_manual").select("item_id", "answer_ref", F.explode("refs").alias("r"))
+    return gold.groupBy("item_id").agg(F.round(F.max(retrieval.overlap_score(F.col("answer_ref"), F.col("r"))), 6).alias("score"))
 
 
 def star_revenue(s, d):

@@ -10,9 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def write_clean_texts(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """One row per content hash; an existing output is kept unless ``overwrite``."""
-    df.dropDuplicates(["hash"]).write.mode("overwrite" if overwrite else "ignore").parquet(path)
+    """One row per content hash; contents that are stored already stay as they are, new ones are added. ``overwrite`` replaces the table.
+
+    Of rows with one hash that of the least doc_id is kept, where there is such a column.
+    """
+    if "doc_id" in df.columns:
+        df = df.join(df.groupBy("hash").agg(F.min("doc_id").alias("doc_id")), ["hash", "doc_id"], "left_semi").select(*df.columns)
+    df = df.dropDuplicates(["hash"])
+    if not overwrite and exists(df.sparkSession, path):
+        df = df.join(df.sparkSession.read.parquet(path).select("hash").distinct(), "hash", "left_anti").select(*df.columns)
+    df.write.mode("overwrite" if overwrite else "append").parquet(path)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -28,7 +41,14 @@ def truncate(spark: SparkSession, path: str) -> int:
 
 
 def write_answers(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """Answer rows as JSON lines, one object a question; nulls are written."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def catalog_rows(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows for the page and the link table: pages as crawled, and the links of stored pages under the page's id."""
+    page = pages.select("page_id", "resource_id", "page_url", "page_title", "pdf_file_name", "headings", "page_text")
+    return page, links.join(pages.select("page_id"), "page_id").select("page_id", "download_url", "anchor_text", "context_snippet")
 
 
 def evolved(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -45,15 +65,27 @@ def clean_metadata(catalog: DataFrame, cleaned: DataFrame, key: str) -> DataFram
     return out.withColumns({c: F.coalesce(f"new_{c}", c) if c in have else F.col(f"new_{c}") for c in cols}).drop(*[f"new_{c}" for c in cols])
 
 
-def grouped(n: float | int | None, digits: int = 0) -> str:
-    """Number with spaces between thousands; what is no number is echoed."""
-    if isinstance(n, bool) or not isinstance(n, int | float):
+def _number(x) -> float | None:
+    """What reads as a number; booleans do not."""
+    if isinstance(x, bool):
+        return None
+    try:
+        return float(x)
+    except (TypeError, ValueError):
+        return None
+
+
+def grouped(n, digits: int = 0) -> str:
+    """Number with spaces between thousands, whole numbers without decimals; numeric text counts as a number, anything else is echoed."""
+    x = _number(n)
+    if x is None:
         return str(n)
-    return f"{n:,.{digits}f}".replace(",", " ")
+    return f"{round(x):,}".replace(",", " ") if digits <= 0 or x.is_integer() else f"{x:,.{digits}f}".replace(",", " ")
 
 
-def percent(x: float | None, digits: int = 1) -> str:
-    return f"{x * 100:.{digits}f}%" if isinstance(x, int | float) and not isinstance(x, bool) else str(x)
+def percent(x, digits: int = 1) -> str:
+    n = _number(x)
+    return str(x) if n is None else f"{n * 100:.{max(0, digits)}f}%"
 
 
 def write_report(report: dict, folder: str) -> tuple[str, str]:

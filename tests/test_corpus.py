@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tessella.operators import corpus, indexing, requests
 
 DOCS = "doc_id long, text string, lang string"
@@ -12,14 +14,51 @@ def test_nulls_ties_and_repeats(spark, as_rows):
     assert as_rows(corpus.canonical_ids(d).select("doc_id", "copies")) == [(1, 3), (6, 1)]
     assert as_rows(corpus.duplicate_groups(d)) == [(1, 2, "3,5")]
     assert as_rows(corpus.empty_after_clean(d)) == [(2, "empty_after_clean"), (4, "empty_after_clean")]
-    assert as_rows(corpus.language_share(corpus.canonical(d))) == [("ru", 1, 0.5), ("unknown", 1, 0.5)]
+    for unique in (corpus.canonical(d), corpus.unique_measures(d)):
+        assert as_rows(corpus.language_share(unique)) == [("ru", 1, 0.5), ("unknown", 1, 0.5)]
+        assert as_rows(unique.select("doc_id")) == [(1,), (6,)]
+    twice = d.unionByName(d)  # rows that repeat a document count once
+    assert as_rows(corpus.canonical(twice).select("doc_id", "clean")) == [(1, "same"), (6, "other")]
+
+
+def test_texts_are_cleaned_once_and_not_shuffled(spark):
+    d = corpus.cleaned(made(spark, [(i, f"text {i % 3}", "en") for i in range(9)]))
+    plan = corpus.unique_measures(d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    plan = corpus.canonical(d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange hashpartitioning" not in plan
+
+
+def test_quantiles_by_rank_equal_the_direct_ones(spark, as_rows, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from tessella.operators import quantiles
+
+    r = random.Random(3)
+    data = [(r.choice(["a", "b", None]), r.choice([None, r.random(), r.randint(0, 9) / 2]), float(r.randint(-5, 5))) for _ in range(3_000)] + [("one", 7.0, None)]
+    df = spark.createDataFrame(data, "g string, x double, y double")
+    qs = (0.0, 0.1, 0.5, 0.95, 1.0)
+    for by in ((), ("g",)):
+        direct = as_rows(quantiles.profile(df, ("x", "y"), qs, by))
+        monkeypatch.setattr(quantiles, "DIRECT_ROWS", 0)
+        ranked = as_rows(quantiles.profile(df, ("x", "y"), qs, by))
+        monkeypatch.undo()
+        assert len(direct) == len(ranked) == (2 if not by else 7)
+        for a, b in zip(direct, ranked, strict=True):
+            assert a[:-1] == b[:-1] and np.allclose(a[-1], b[-1], rtol=1e-12)
+        for row in direct:
+            values = [v[1 if row[-6] == "x" else 2] for v in data if not by or v[0] == row[0]]
+            assert np.allclose(row[-1], np.quantile([v for v in values if v is not None], qs))
+    assert quantiles.profile(df.limit(0), ("x",), qs).count() == 0
 
 
 def test_empty_tables(spark):
     d = corpus.cleaned(made(spark, []))
     u = corpus.canonical(d)
     assert corpus.duplicate_groups(d).count() == 0
-    assert corpus.describe_all(corpus.lengths(u)).count() == 0
+    assert corpus.describe_all(corpus.lengths(corpus.unique_measures(d))).count() == 0
     assert corpus.tfidf_top(u).count() == 0
     assert corpus.lexical_diversity(corpus.vocabulary(u)).first().diversity == 0.0
     assert all(r.value == 0.0 for r in corpus.quality_metrics(d).collect())
@@ -65,6 +104,10 @@ def test_log_statistics(spark):
     log = spark.createDataFrame([(1, "ok", 1.0, None, 5), (2, "ok", 3.0, 4, None)], "id long, status string, duration_ms double, text_len long, token_count long")
     r = requests.stats(log).first()
     assert (r.requests, r.duration_mean, r.duration_p50, r.duration_p95, r.text_len_mean, r.token_count_mean) == (2, 2.0, 2.0, 2.9, 4.0, 5.0)
+    assert r.image_width_mean is None and r.image_height_p50 is None
+    sized = log.withColumn("image_width", F.col("id") * 10).withColumn("image_height", F.when(F.col("id") == 2, 7))
+    by = {x.status: x for x in requests.stats(sized.unionByName(sized.withColumn("status", F.lit(None).cast("string"))), ("status",)).collect()}
+    assert (by["ok"].image_width_mean, by["ok"].image_width_p50, by["ok"].image_height_p50) == (15.0, 15.0, 7.0) and by[None].requests == 2 and by[None].duration_p50 == 2.0
     none = requests.stats(log.limit(0)).first()
     assert none.requests == 0 and none.duration_mean is None and none.duration_p50 is None
     assert [r.id for r in requests.history(log, 1).collect()] == [2]

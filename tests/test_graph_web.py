@@ -53,7 +53,7 @@ def test_html(spark):
     html = "<html><title> T </title><body><h1>A<b>b</b></h1><script>no()</script><p>text <a href='/x'>link</a><h4>n</h4><h3>C</h3></body>"
     df = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id int, html string")
     got = {r.page_id: r for r in catalog.html_catalog(df).collect()}
-    assert got[1].title == "T" and got[1].headings == ["Ab", "C"] and [tuple(x) for x in got[1].links] == [("/x", "link")]
+    assert got[1].title == "T" and got[1].headings == ["Ab", "C"] and [tuple(x) for x in got[1].links] == [("/x", "link", "text link n C")]
     assert "no()" not in got[1].text and got[2].text is None and got[3].headings == []
 
 
