@@ -93,6 +93,12 @@ def duplicate_groups(clean_docs: DataFrame, top: int = 10, examples: int = 5) ->
     return groups.join(few, "hash").select("doc_id", (F.col("copies") - 1).alias("duplicates"), "examples")
 
 
+def duplicate_rows(clean_docs: DataFrame) -> DataFrame:
+    """(doc_id, first_id) of every document whose content an earlier one has."""
+    first = canonical_ids(clean_docs).where("copies > 1").select("hash", F.col("doc_id").alias("first_id"))
+    return non_empty(clean_docs).select("hash", "doc_id").join(first, "hash").where("doc_id <> first_id").select("doc_id", "first_id")
+
+
 def language_share(unique: DataFrame) -> DataFrame:
     """(lang, docs, share) over unique documents."""
     counts = unique.groupBy(F.coalesce("lang", F.lit("unknown")).alias("lang")).agg(F.count(F.lit(1)).alias("docs"))

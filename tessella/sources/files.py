@@ -12,6 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.web import site_key
+from tessella.session import cut_lineage
+from tessella.sources.readers import pages_of
+
 # Document kinds, the default input folders and their prefix.
 EXTENSIONS = (".pdf", ".docx", ".pptx")
 DEFAULT_DIRS, DIR_PREFIX = ("scraped_site", "gigachat_materials"), "gigachat_"
@@ -41,9 +45,11 @@ def scan_files(spark: SparkSession, dirs: list[str], extensions: tuple[str, ...]
 
 
 def site_folders(spark: SparkSession, root: str, kinds: tuple[str, ...] = ("pages", "materials")) -> DataFrame:
-    """Files below ``root/<domain>/<kind>``, with their domain."""
-    dirs = [os.path.join(root, d, k) for d in sorted(os.listdir(root)) for k in kinds]
-    files = scan_files(spark, dirs)
+    """Files below ``root/<domain>/<kind>``, with their domain; the root is on any file system Spark knows."""
+    pattern = f"{root.rstrip('/')}/*/{{{','.join(kinds)}}}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    files = scan_files(spark, sorted(x.getPath().toString() for x in found) if found else [])
     return files.withColumn("domain", F.element_at(F.split("base_dir", "/"), -2))
 
 
@@ -63,6 +69,23 @@ def extracted(files: DataFrame, extract: Callable[[str, bytes], str]) -> DataFra
     return files.select("path", "content", F.sha2("content", 256).alias("file_hash")).mapInPandas(run, "path string, file_hash string, text string, error string")
 
 
+def loaded_pages(files: DataFrame) -> DataFrame:
+    """path, file_hash, page, text, error: a row for each page that is not blank; a file that cannot be read gives one row with its error."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for p, h, c in zip(pdf["path"], pdf["file_hash"], pdf["content"], strict=True):
+                try:
+                    rows += [(p, h, i, t, None) for i, t in pages_of(p, bytes(c))]
+                except Exception as e:  # a file that cannot be read is a result, not a failure
+                    rows.append((p, h, None, None, f"extract_failed: {e}"))
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "file_hash", "page", "text", "error"]).astype({"page": "Int32"})
+
+    return files.select("path", "content", F.sha2("content", 256).alias("file_hash")).mapInPandas(run, "path string, file_hash string, page int, text string, error string")
+
+
 def eval_lines(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
     """Questions with references ([] where missing) and answer; ``tolerant`` drops malformed lines, else they raise."""
     df = spark.read.schema(EVAL_SCHEMA).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
@@ -78,11 +101,16 @@ def terms(spark: SparkSession, path: str | None) -> DataFrame:
 
 def known_sites(lines: DataFrame, url: str = "url", pos: str = "pos") -> DataFrame:
     """First spelling of each site, in the order of first appearance."""
-    from tessella.functions.web import site_key
-
     return lines.where(F.trim(url) != "").groupBy(site_key(F.col(url)).alias("site")).agg(F.min(pos).alias("pos"), F.min_by(url, pos).alias("url"))
 
 
+def rewrite_known_sites(lines: DataFrame, path: str, url: str = "url", pos: str = "pos") -> DataFrame:
+    """``known_sites`` written as a text file of one address a line, in order; the list is short, so one task writes it."""
+    sites = cut_lineage(known_sites(lines, url, pos))
+    sites.orderBy("pos").coalesce(1).select("url").write.mode("overwrite").text(path)
+    return sites
+
+
 def markdown_table(lines: DataFrame, columns: list[str], value: str = "value") -> DataFrame:
     """Rows of a pipe table with exactly these columns; heading, rule and ragged lines are dropped."""
     cells = F.transform(F.split(F.regexp_replace(F.trim(value), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))

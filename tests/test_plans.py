@@ -1,19 +1,49 @@
 import datetime as dt
 import json
+import zipfile
 
 from tessella.operators import cache
 from tessella.plans import answering, report
+from tessella.sources import files
 
 
 def test_report_and_command(spark, small, tmp_path):
     terms = tmp_path / "terms.txt"
     terms.write_text("урок\nquaternion\n")
     out = report.main(["--documents", f"{small}/documents.parquet", "--records", f"{small}/document_records.parquet", "--terms-file", str(terms), "--output-dir", str(tmp_path / "texts"), "--report-dir", str(tmp_path / "r"), "--max-files", "60"])
-    assert out["total_candidates"] == 100 and out["processed"] == 60 and out["unique"] <= 60
+    told = out["documents"]
+    assert told["total_candidates"] == 100 and told["processed"] == 60 and told["unique"] <= 60 and out["db_available"]
+    assert told["token_stats"]["n"] == told["unique"] == spark.read.json(out["document_details"]).count()
     assert len(out["quality_metrics"]) == 16 and out["term_coverage"]["missing"] == ["quaternion"]
-    assert json.load(open(tmp_path / "r/eda_report.json"))["unique"] == out["unique"]
+    assert json.load(open(tmp_path / "r/eda_report.json"))["documents"]["unique"] == told["unique"]
     assert (tmp_path / "r/eda_dashboard.html").stat().st_size > 1000
-    assert spark.read.parquet(str(tmp_path / "texts")).count() == out["unique"]
+    assert spark.read.parquet(str(tmp_path / "texts")).count() == told["unique"]
+
+
+def office_file(path, parts):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, lines in parts.items():
+            z.writestr(name, "<r xmlns:w='urn:w'>" + "".join(f"<w:p><w:t>{x}</w:t></w:p>" for x in lines) + "</r>")
+
+
+def test_report_over_folders(spark, tmp_path):
+    d = tmp_path / "in" / "sub"
+    d.mkdir(parents=True)
+    office_file(d / "a.docx", {"word/document.xml": ["School museum", "opens on Tuesday"]})
+    office_file(d / "b.pptx", {"ppt/slides/slide10.xml": ["last"], "ppt/slides/slide2.xml": ["first"], "ppt/slides/slide3.xml": [" "]})
+    office_file(d / "copy.DOCX", {"word/document.xml": ["School museum", "opens on Tuesday"]})
+    office_file(d / "blank.docx", {"word/document.xml": []})
+    (d / "broken.pptx").write_bytes(b"no zip")
+    (d / "other.txt").write_text("not a document kind")
+    out = report.main(["--input-dirs", str(tmp_path / "in"), "--output-dir", str(tmp_path / "t"), "--report-dir", str(tmp_path / "r"), "--log-level", "ERROR"])
+    told = out["documents"]
+    assert (told["total_candidates"], told["processed"], told["unique"], told["duplicates"], out["errors_total"]) == (5, 5, 2, 1, 2)
+    assert told["language_distribution"] == {"unknown": 2} and told["duplicate_ratio"] == 0.2
+    assert sorted(r["error"].split(":")[0] for r in out["error_samples"]) == ["empty_after_clean", "extract_failed"]
+    assert {r.clean for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {"School museum\nopens on Tuesday", "first\nlast"}
+    pages = files.loaded_pages(files.scan_files(spark, [str(tmp_path / "in")]))
+    assert sorted((r.path.rsplit("/")[-1], r.page, r.text) for r in pages.where("error is null").collect()) == [("a.docx", 0, "School museum\nopens on Tuesday"), ("b.pptx", 0, "first"), ("b.pptx", 2, "last"), ("copy.DOCX", 0, "School museum\nopens on Tuesday")]
+    assert [r.path.rsplit("/")[-1] for r in pages.where("error is not null").collect()] == ["broken.pptx"]
 
 
 def test_report_names_every_source(spark):
@@ -24,7 +54,7 @@ def test_report_names_every_source(spark):
 
 def test_report_of_nothing(spark):
     out = report.corpus_report(spark.createDataFrame([], "doc_id long, text string, lang string"))
-    assert out["unique"] == 0 and out["length_stats"] == {} and out["tfidf_top_features"] == []
+    assert out["documents"]["unique"] == 0 and out["documents"]["char_stats"] == {} == out["documents"]["chunk_size_stats"] and out["tfidf_top_features"] == []
     assert all(m["value"] == 0 for m in out["quality_metrics"])
 
 

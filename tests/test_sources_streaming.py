@@ -45,10 +45,14 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("h", "t")], "hash string, clean string")
     p = str(tmp_path / "out")
     sinks.write_clean_texts(df, p)
-    sinks.write_clean_texts(df.withColumn("clean", F.lit("new")), p)
-    assert spark.read.parquet(p).first().clean == "t"
+    more = spark.createDataFrame([("h", "changed"), ("i", "added"), ("i", "added")], "hash string, clean string")
+    sinks.write_clean_texts(more, p)
+    assert sorted(map(tuple, spark.read.parquet(p).collect())) == [("h", "t"), ("i", "added")]
     sinks.write_clean_texts(df.withColumn("clean", F.lit("new")), p, overwrite=True)
-    assert spark.read.parquet(p).first().clean == "new"
+    assert [tuple(r) for r in spark.read.parquet(p).collect()] == [("h", "new")]
+    ids = spark.createDataFrame([(5, "k", "x", "late"), (2, "k", "x", "first")], "doc_id long, hash string, clean string, lang string")
+    sinks.write_clean_texts(ids, str(tmp_path / "ids"))
+    assert [r.lang for r in spark.read.parquet(str(tmp_path / "ids")).collect()] == ["first"]
     sinks.append(df, p)
     assert sinks.truncate(spark, p) == 2 and spark.read.parquet(p).count() == 0
     sinks.write_answers(df, str(tmp_path / "j"))
@@ -64,6 +68,7 @@ def test_report(tmp_path):
     page = open(b).read()
     assert "12 345" in page and "&lt;x&gt;" in page and "<x>" not in page
     assert sinks.percent(0.1234) == "12.3%" and sinks.percent(None) == "None" and sinks.grouped("x") == "x"
+    assert sinks.grouped("12345.6") == "12 346" and sinks.grouped(12345.0, 2) == "12 345" and sinks.grouped(1234.567, 2) == "1 234.57" and sinks.grouped(True) == "True" and sinks.percent("0.5") == "50.0%"
 
 
 def test_stream_of_new_contents(spark, tmp_path):
