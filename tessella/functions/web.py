@@ -202,3 +202,20 @@ def numbered_list(c: Column) -> Column:
 def is_identifier(c: Column) -> Column:
     """A name that can stand in a statement: a letter or underscore, then letters, digits and underscores, outer spaces aside."""
     return F.regexp_like(F.trim(F.coalesce(c, F.lit(""))), F.lit(r"\A[A-Za-z_][A-Za-z0-9_]*\z"))
+
+
+# Characters that HTML text must not hold, in the order in which they are replaced.
+ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
+
+
+def escaped(c: Column | str) -> Column:
+    """Text that can stand in HTML."""
+    c = F.col(c) if isinstance(c, str) else c
+    for a, b in ESCAPES:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def grouped(n: Column, digits: int = 0) -> Column:
+    """A number with spaces between thousands."""
+    return F.replace(F.format_number(n, digits), F.lit(","), F.lit(" "))

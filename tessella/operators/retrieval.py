@@ -153,9 +153,9 @@ def indexed_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
     probes = min(len(cells), max(LEAST_PROBES, round(len(cells) * probed)))
     rows = cut_lineage(celled(vectors, cells, metric, key, vector))
     salts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SALT_ROWS))).cast("int").alias("salts"))
-    left = rows.join(F.broadcast(salts), "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))  # a row a cell
+    left = rows.join(F.broadcast(salts), "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")  # a row a cell
     asked = celled(queries, cells, metric, key, vector, probes).join(F.broadcast(salts), "cell")
-    right = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def meet(part: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.web import site_key
-from tessella.session import cut_lineage
+from tessella.session import cut_lineage, path_exists
 from tessella.sources.readers import pages_of
 
 # Document kinds, the default input folders and their prefix.
@@ -37,19 +37,19 @@ def scan_files(spark: SparkSession, dirs: list[str], extensions: tuple[str, ...]
     """
     out = spark.createDataFrame([], FILES)
     for d in dirs:
-        if os.path.isdir(d) or "://" in d:
+        if path_exists(spark, d):
             found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(d)
             kept = found.where(F.lower("path").rlike(rf"({'|'.join(e.replace('.', chr(92) + '.') for e in extensions)})$"))
             out = out.unionByName(kept.select(F.lit(d).alias("base_dir"), "path", "length", "content"))
     return out
 
 
-def site_folders(spark: SparkSession, root: str, kinds: tuple[str, ...] = ("pages", "materials")) -> DataFrame:
+def site_folders(spark: SparkSession, root: str, kinds: tuple[str, ...] = ("pages", "materials"), extensions: tuple[str, ...] = (*EXTENSIONS, ".txt")) -> DataFrame:
     """Files below ``root/<domain>/<kind>``, with their domain; the root is on any file system Spark knows."""
     pattern = f"{root.rstrip('/')}/*/{{{','.join(kinds)}}}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
     found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
-    files = scan_files(spark, sorted(x.getPath().toString() for x in found) if found else [])
+    files = scan_files(spark, sorted(x.getPath().toString() for x in found) if found else [], extensions)
     return files.withColumn("domain", F.element_at(F.split("base_dir", "/"), -2))
 
 

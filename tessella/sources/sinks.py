@@ -9,10 +9,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+from tessella.session import path_exists
 
 
 def write_clean_texts(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -23,7 +20,7 @@ def write_clean_texts(df: DataFrame, path: str, overwrite: bool = False) -> None
     if "doc_id" in df.columns:
         df = df.join(df.groupBy("hash").agg(F.min("doc_id").alias("doc_id")), ["hash", "doc_id"], "left_semi").select(*df.columns)
     df = df.dropDuplicates(["hash"])
-    if not overwrite and exists(df.sparkSession, path):
+    if not overwrite and path_exists(df.sparkSession, path):
         df = df.join(df.sparkSession.read.parquet(path).select("hash").distinct(), "hash", "left_anti").select(*df.columns)
     df.write.mode("overwrite" if overwrite else "append").parquet(path)
 

@@ -15,6 +15,16 @@ def test_edge_rules(spark):
     assert got == [("7", "?", "related_to", 0.7, None), ("a|part_of|b", "a", "part of", 0.5, "c1"), ("n|uses|o", "n", "uses", None, None)]
 
 
+def test_structured_edges_need_an_allowed_relation(spark):
+    rows = [(1, "a", None, "b", 0.9, None, None), (2, "a", "uses", "b", 0.5, None, None), (3, "a", "", "c", None, "k", None)]
+    df = spark.createDataFrame(rows, EDGE)
+    assert [r.edge_id for r in graph.filter_edges(df, form="dict").collect()] == ["a|uses|b"]
+    assert [r.rel for r in graph.filter_edges(df).collect()] == ["related_to", "uses", "related_to"]
+    more = df.withColumn("predicate", F.when(F.col("pos") == 1, F.lit("Part Of"))).withColumn("id", F.when(F.col("pos") == 2, F.lit("n2")))
+    assert [(r.edge_id, r.rel) for r in graph.filter_edges(more, form="dict").collect()] == [("a|part_of|b", "Part Of"), ("n2", "uses")]
+    assert graph.filter_edges(df, limit=0).count() == 3
+
+
 def test_parse_edge(spark):
     lines = ["- A b -uses→ C d [score=0.75] [#edge:12]", "- A -has→ B", "nothing", None]
     got = [tuple(r.x) for r in spark.createDataFrame([(x,) for x in lines], "l string").select(graph.parse_edge(F.col("l")).alias("x")).collect()]
@@ -28,6 +38,8 @@ def test_graph_context(spark):
     got = {r.k: r.context for r in graph.graph_context(spark.createDataFrame(rows, schema), "k").collect()}
     assert got[1] == "[Сводка сообщества #1 (L1, id=5)]\ns\n\n[Структура]\n• Программы/проекты: p\n\n[Связи]\n- h -related_to→ t [score=0.46]\n   <c>\n\n[Якорные узлы] n (?)"
     assert got[2] == ""
+    many = spark.createDataFrame([(1, None, None, None, None, [("h", "r", "t", None, "c")] * 5, None)], schema)
+    assert graph.graph_context(many, "k", 2, cites=False).first().context == "[Связи]\n- h -r→ t\n- h -r→ t" and graph.graph_context(many, "k", limit=5).first().context == "[Свя:"
 
 
 def one(spark, value, f):
@@ -68,6 +80,40 @@ def test_json_and_lists(spark):
 def test_crawl_and_downloads(spark, as_rows):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c.mp4"), ("b", "d"), ("d", None)], "url string, link string")
     assert as_rows(catalog.crawl_order(spark.createDataFrame([("a",)], "url string"), edges)) == [("a", 0), ("b", 1), ("d", 2)]
+    web_edges = spark.createDataFrame([("http://a/", "http://a/bad"), ("http://a/", "http://a/x"), ("http://a/bad", "http://a/never"), ("http://a/x", "http://a/bad/sub"), ("http://a/x", "http://a/y")], "url string, link string")
+    start = spark.createDataFrame([("http://a/",), ("http://a/film.mp4",)], "url string")
+    failed = spark.createDataFrame([("http://a/bad",)], "url string")
+    assert as_rows(catalog.crawl_order(start, web_edges, failed=failed)) == [("http://a/", 0), ("http://a/bad", 1), ("http://a/x", 1), ("http://a/y", 2)]
+    assert as_rows(catalog.crawl_order(start, web_edges, max_pages=2)) == [("http://a/", 0), ("http://a/bad", 1)]
+    assert catalog.crawl_order(start, web_edges, max_depth=1).count() == 3
+    chunks = spark.createDataFrame([(3, "c"), (1, "b"), (2, "a"), (4, ""), (5, None), (6, "a")], "id long, source string")
+    assert [r.source for r in catalog.distinct_files(chunks).collect()] == ["a", "b", "c"] and [r.source for r in catalog.distinct_files(chunks, cap=2).collect()] == ["a", "b"]
     files = spark.createDataFrame([(1, "u1", "f1")], "resource_id long, download_url string, file_name string")
     asked = spark.createDataFrame([(1, "u1", "o"), (2, "u1", "o"), (2, "http://h/n.pdf", "o")], "resource_id long, download_url string, origin_url string")
     assert as_rows(catalog.new_downloads(asked, files)) == [(2, "o", "http://h/n.pdf", "n.pdf", False), (2, "o", "u1", "f1", True)]
+
+
+def test_models_images_times(spark, as_rows):
+    from tessella.functions import images, models, times
+
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, ""), (4, "x" * 9_000)], "i int, t string")
+    seen = df.select("i", models.language(F.col("t"), lambda t: ("long" if len(t) == 4_000 else "short", 0.9 if len(t) > 3 else 0.5)).alias("l"))
+    assert as_rows(seen) == [(1, "unknown"), (2, "unknown"), (3, "unknown"), (4, "long")]
+    assert {r[0] for r in df.select(models.language(F.col("t"))).collect()} == {"unknown"}
+    assert as_rows(df.coalesce(1).select("i", models.embedded(F.col("t"), lambda ts: [[len(t)] for t in ts]))) == [(1, [3.0]), (2, None), (3, [0.0]), (4, [9000.0])]
+    assert {r[0] for r in df.select(models.embedded(F.col("t"), lambda ts: 1 / 0)).collect()} == {None}
+    jpeg = bytes.fromhex("ffd8ffe000104a46494600010100000100010000ffc0001108001000200301")
+    gif = b"GIF89a" + bytes([5, 0, 6, 0])
+    assert images.header_size(jpeg) == (32, 16, "jpeg") and images.header_size(gif) == (5, 6, "gif")
+    assert images.header_size(b"BM" + bytes(16) + bytes([7, 0, 0, 0, 0xF8, 0xFF, 0xFF, 0xFF])) == (7, 8, "bmp")
+    assert images.header_size(b"\xff\xd8\xff") == images.header_size(None) == images.header_size(images.PNG) == (None, None, None)
+    assert times.utc_now().endswith("Z") and len(times.utc_now()) == 20
+
+
+def test_identifiers_and_bodies(spark, as_rows):
+    from tessella.operators import requests
+
+    names = spark.createDataFrame([(" a_1 ",), ("1a",), ("a-b",), (None,), ("",), ("_",)], "n string")
+    assert [r[0] for r in names.select(web.is_identifier(F.col("n"))).collect()] == [True, False, False, False, False, True]
+    bodies = spark.createDataFrame([(1, '{"text": " hi "}', "application/json"), (2, "bad json", "application/json"), (3, "a=1&question=wo+ist%3F", None), (4, None, None), (5, "text=%ZZ", "form")], "i int, body string, content_type string")
+    assert as_rows(requests.parsed(bodies).select("i", "text", "status")) == [(1, "hi", 200), (2, None, 400), (3, "wo ist?", 200), (4, None, 400), (5, None, 400)]

@@ -83,3 +83,62 @@ def test_similar_lookup(spark, as_rows):
     assert as_rows(cache.similar_lookup(state, ask, 0.5)) == [(1, 2, 1.0)]  # the newest of equals
     assert cache.similar_lookup(state, ask, 1.0).count() == 0  # strictly above
     assert cache.similar_lookup(state, ask, 0.5, scan=1).count() == 0  # match is outside the newest
+
+
+def clustered(spark, n=4_000, width=12, seed=1):
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    middle = r.standard_normal((40, width)) * 2
+    v = middle[r.integers(0, 40, n)] + r.standard_normal((n, width))
+    v[r.random(n) < 0.3] = middle[0]  # a third in one spot
+    v += r.standard_normal((n, width)) * 0.01
+    rows = [(i, [float(x) for x in y]) for i, y in enumerate(v)] + [(n, None), (n + 1, []), (n + 2, [1.0])]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def recall(exact, found):
+    want = {(r.query_id, r.vec_id): r.score for r in exact.collect()}
+    got = {(r.query_id, r.vec_id): r.score for r in found.collect()}
+    assert all(abs(want[k] - got[k]) < 1e-9 for k in want.keys() & got.keys())
+    worst = {}
+    for (q, _), s in want.items():
+        worst[q] = min(s, worst.get(q, s))
+    return sum(s >= worst[q] - 1e-9 for (q, _), s in got.items()) / len(want)  # equals of the last place count
+
+
+def test_index_recall_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CELL_ROWS", 60)
+    monkeypatch.setattr(retrieval, "SALT_ROWS", 500)
+    df = clustered(spark).repartition(4).cache()
+    asked = df.where("vec_id % 50 = 0")
+    for metric in ("cosine", "l2"):
+        cells = retrieval.centres(df, metric, cell_rows=60)
+        assert len(cells) > 50 and retrieval.celled(df, cells, metric).count() == 4_000  # every row is indexed
+        found = retrieval.indexed_top_k(df, asked, 10, metric)
+        assert recall(retrieval.top_k(df, asked, 10, metric), found) >= 0.9
+        assert found.where("query_id = vec_id").count() == 0
+    assert retrieval.indexed_top_k(df.limit(0), asked, 5).count() == 0 == retrieval.indexed_top_k(df, asked.limit(0), 5).count()
+
+
+def test_index_recall_on_the_test_table(spark):
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    asked = v.where("vec_id % 50 = 0")
+    assert recall(retrieval.top_k(v, asked, 10), retrieval.indexed_top_k(v, asked, 10)) >= 0.9
+
+
+def test_pair_scorer_and_fallback(spark, as_rows):
+    hits = spark.createDataFrame([(1, "q", 5, "aa", 1), (1, "q", 6, "bbb", 2), (1, "q", 7, None, 3), (1, "q", 8, "ccc", 4)], "query_id long, question string, doc_id long, text string, rank int")
+    pick = lambda df: [r[1] for r in sorted(as_rows(df.select("query_id", "doc_id", "new_rank")), key=lambda r: r[2])]
+    assert pick(retrieval.pair_reranked(hits, lambda q, t: [len(x) for x in t], 3)) == [6, 8, 5]
+    assert pick(retrieval.pair_reranked(hits, None, 2)) == [5, 6]
+    assert pick(retrieval.pair_reranked(hits, lambda q, t: 1 / 0, 3)) == [5, 6, 7]
+    assert retrieval.pair_reranked(hits.limit(0), None).count() == 0
+
+
+def test_questions_in_blocks(spark, as_rows, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 7} word{i % 5} other") for i in range(40)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, f"word{i} other word1") for i in range(6)] + [(9, None)], "query_id long, text string")
+    whole = as_rows(retrieval.overlap_top_k(docs, q, 3))
+    monkeypatch.setattr(retrieval, "BLOCK", 2)
+    assert as_rows(retrieval.overlap_top_k(docs, q, 3)) == whole and len(whole) == 18

@@ -100,3 +100,38 @@ def test_windowed_stats(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("wins").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.requests, r.duration_mean, r.duration_max) for r in spark.table("wins").collect()][:1] == [(2, 2.0, 3.0)]
+
+
+def test_sites_are_rewritten_and_folders_found(spark, tmp_path, as_rows):
+    lines = spark.createDataFrame([(2, "http://b"), (1, "HTTP://a/"), (3, "http://A")], "pos int, url string")
+    files.rewrite_known_sites(lines, str(tmp_path / "sites"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "sites")).collect()] == ["HTTP://a/", "http://b"]
+    for kind in ("pages", "materials", "other"):
+        (tmp_path / "root" / "d1" / kind).mkdir(parents=True)
+        (tmp_path / "root" / "d1" / kind / "f.pdf").write_bytes(b"x")
+    assert as_rows(files.site_folders(spark, str(tmp_path / "root")).groupBy("domain").count()) == [("d1", 2)]
+    assert files.site_folders(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_table_over_jdbc(spark, small, as_rows):
+    nation, where = spark.read.parquet(f"{small}/nation.parquet"), "jdbc:derby:memory:tessella;create=true"
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    nation.write.format("jdbc").option("url", where).option("dbtable", "nation").options(**driver).mode("overwrite").save()
+    got = files.sql_table(spark, where, "nation", **driver)
+    assert as_rows(got.select("n_nationkey")) == as_rows(nation.select("n_nationkey"))
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tessella import session
+
+    known = SimpleNamespace(isEmpty=lambda: True)
+    sc = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: known)), master="spark://host:7077")
+    with pytest.raises(ValueError):
+        session.shared_folder(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
+    cut = session.cut_lineage(spark.range(3))
+    path = cut._written
+    assert cut.count() == 3 and session.path_exists(spark, path)
+    session.release(cut, spark.range(1))
+    assert not session.path_exists(spark, path)
