@@ -24,12 +24,17 @@ def value_counts(df: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] =
     return rows.groupBy(*by, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def profile(df: DataFrame, columns: tuple[str, ...], quantiles: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, measure, n, min, max, mean, q) with ``q`` the quantiles in the given order."""
-    counts = cut_lineage(value_counts(df, columns, by))
+def profile(df: DataFrame, columns: tuple[str, ...], quantiles: tuple[float, ...], by: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
+    """(by, measure, n, min, max, mean, q) with ``q`` the quantiles in the given order.
+
+    ``rows`` is the number of rows where the caller knows it; if it bounds the different values low enough, they are not written first.
+    """
+    counts = value_counts(df, columns, by)
+    few = rows is not None and rows * len(columns) <= DIRECT_ROWS
+    counts = counts if few else cut_lineage(counts)
     keys = [*by, "measure"]
     base = [F.sum("n").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean")]
-    if counts.count() <= DIRECT_ROWS:
+    if few or counts.count() <= DIRECT_ROWS:
         return counts.groupBy(*keys).agg(*base, F.percentile("value", F.array(*map(F.lit, quantiles)), F.col("n")).alias("q"))
     out = counts.groupBy(*keys).agg(*base)
     return out.join(_by_rank(counts, out, keys, quantiles), _same(out, keys), "left").select(*[out[c] for c in out.columns], "q")

@@ -24,7 +24,7 @@ QS = (0.5, 0.95, 0.99)
 def stats(log: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts, means and linear percentiles; nulls are passed over, no values give null. Columns the log lacks give null as well."""
     have = tuple(c for c in MEASURES if c in log.columns)
-    told = profile(log, have, QS, by)
+    told = profile(log, have, QS, by, log.count())  # of a table, its metadata tell
     cell = lambda c, v: F.round(F.max(F.when(F.col("measure") == c, v)), 6)
     cells = []
     for c, (name, mean, qs) in MEASURES.items():
