@@ -39,6 +39,8 @@ COLUMNS = (1, 1, 2, 2, 3, 4, 4, 5, 6, 7)
 BITS, WIDTH, RADIUS = 3, 10, 2
 MASKS = 2**BITS - 1
 GROUPS = 16
+# Keys that a task of the bucket shuffle gets about, whatever number of shuffle partitions the session has set.
+TASK_KEYS = 500_000
 # Members of a bucket or copies of a text that meet in one block; layout only, every pair of blocks is worked on.
 BLOCK = 512
 # Ids of this many candidate pages are broadcast (8 bytes each) to fetch their texts; beyond it the join is shuffled.
@@ -111,7 +113,8 @@ def _index(df: DataFrame, id_col: str, text: str, words: int, groups: int) -> tu
     reps = rows.groupBy("set_id", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sk").alias("sk"))
     reps = cut_lineage(reps)
     # The keys are shuffled once: counting the buckets and dropping those of one page both read that shuffle.
-    keyed = reps.select("rep", "sk").mapInPandas(buckets, "key bigint, rep bigint").repartition("key")
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-reps.count() * groups * MASKS // TASK_KEYS))
+    keyed = spread(reps.select("rep", "sk")).mapInPandas(buckets, "key bigint, rep bigint").repartition(tasks, "key")
     sizes = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = cut_lineage(keyed.join(sizes.hint("shuffle_hash"), "key"))
     return src, rows.drop("sk"), reps, shared
