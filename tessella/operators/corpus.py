@@ -46,20 +46,25 @@ def canonical_ids(clean_docs: DataFrame) -> DataFrame:
 
 
 def canonical(clean_docs: DataFrame) -> DataFrame:
-    """One row per content, that of its first document (hash, doc_id, lang, clean); no text is shuffled.
+    """One row per content, that of its first document (hash, doc_id, lang, clean); no text is shuffled."""
+    return firsts(non_empty(clean_docs).select("hash", "doc_id", "lang", "clean"))
+
+
+def firsts(rows: DataFrame) -> DataFrame:
+    """The rows (hash, doc_id, ...) of the first document of each content.
 
     Contents that occur once pass; of the others the row of the first document is kept, against the hashes of the repeated contents only.
     Rows that repeat a document id with its content count once.
     """
-    rows = non_empty(clean_docs)
     once = rows.groupBy("hash", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     multi = once.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.sum("n").alias("copies"), F.max("n").alias("same")).where("copies > 1")
     multi = cut_lineage(multi)
+    groups, same = multi.agg(F.count(F.lit(1)), F.max("same")).first()
     known = multi.select("hash", "first_id")
-    if multi.count() <= BROADCAST_GROUPS:
+    if groups <= BROADCAST_GROUPS:
         known = F.broadcast(known)
-    kept = rows.join(known, "hash", "left").where("first_id is null or first_id = doc_id").select("hash", "doc_id", "lang", "clean")
-    return kept if multi.where("same > 1").isEmpty() else kept.dropDuplicates(["hash"])
+    kept = rows.join(known, "hash", "left").where("first_id is null or first_id = doc_id").select(*rows.columns)
+    return kept if (same or 1) == 1 else kept.dropDuplicates(["hash"])
 
 
 def measured(clean_docs: DataFrame) -> DataFrame:
@@ -140,20 +145,21 @@ def lexical_diversity(vocab: DataFrame) -> DataFrame:
     return row.select("types", "tokens", F.round(F.coalesce(F.col("types") / F.nullif("tokens", F.lit(0)), F.lit(0.0)), 6).alias("diversity"))
 
 
-def tfidf_top(unique: DataFrame, top: int = TOP_TERMS, features: int = TFIDF_FEATURES, min_df: int = TFIDF_MIN_DF) -> DataFrame:
-    """(term, score): mean TF-IDF over documents.
+def tfidf_top(clean_docs: DataFrame, top: int = TOP_TERMS, features: int = TFIDF_FEATURES, min_df: int = TFIDF_MIN_DF) -> DataFrame:
+    """(term, score): mean TF-IDF over the different contents.
 
     Raw counts, smooth idf ln((1 + n) / (1 + df)) + 1, rows scaled to length one after the vocabulary is cut to the
     ``features`` terms of the highest corpus frequency (ties by term). A document's terms are counted where it is read and written as one row;
     the second pass knows the ``features`` weights and leaves one sum per term and task.
     """
-    tf = cut_lineage(unique.select(term_counts(F.col("clean")).alias("x")).select("x.terms", "x.n"))
+    every = cut_lineage(non_empty(clean_docs).select("hash", "doc_id", term_counts(F.col("clean")).alias("x")).select("hash", "doc_id", "x.terms", "x.n"))
+    tf = firsts(every).select("terms", "n")
     each = tf.select(F.explode(F.arrays_zip("terms", "n")).alias("x")).select(F.col("x.terms").alias("term"), "x.n")
     kept = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf")).where(F.col("df") >= min_df)
     total = tf.count()
     rows = kept.orderBy(F.desc("cf"), "term").limit(features).collect()
     idf = {r["term"]: float(np.log((1 + total) / (1 + r["df"])) + 1) for r in rows}
-    shared = unique.sparkSession.sparkContext.broadcast((list(idf), {t: i for i, t in enumerate(idf)}, np.array(list(idf.values()))))
+    shared = clean_docs.sparkSession.sparkContext.broadcast((list(idf), {t: i for i, t in enumerate(idf)}, np.array(list(idf.values()))))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, at, weight = shared.value

@@ -67,7 +67,7 @@ def corpus_lexical_diversity(s, d):
 
 
 def corpus_tfidf_top50(s, d):
-    return corpus.tfidf_top(_unique(s, d))
+    return corpus.tfidf_top(_clean(s, d))
 
 
 def _terms(s: SparkSession) -> DataFrame:
