@@ -33,13 +33,13 @@ def files_scan_hash(s, d):
     where = _folder(s)
     table(s, d, "eval_set_gold_manual").select("item_id", "question").coalesce(1).write.partitionBy("item_id").text(where)
     found = files.scan_files(s, [where], (".txt",))
-    return found.select(F.regexp_extract("path", r"item_id=(\d+)/", 1).cast("bigint").alias("item_id"), "length", F.sha2("content", 256).alias("file_hash"))
+    return found.select(F.regexp_extract("path", r"item_id=(\d+)/", 1).try_cast("bigint").alias("item_id"), "length", F.sha2("content", 256).alias("file_hash"))
 
 
 def files_site_folders(s, d):
     """Files below <domain>/pages and <domain>/materials of a root, other folders left out."""
     where = _folder(s)
-    for r in table(s, d, "region").collect():  # five rows
+    for r in table(s, d, "region").where("r_name <> ''").select("r_name").distinct().collect():  # five rows
         for kind in ("pages", "materials", "other"):
             s.createDataFrame([(f"{r.r_name} {kind}",)], "value string").coalesce(1).write.text(f"{where}/{r.r_name}/{kind}")
     return files.site_folders(s, where).where("path like '%.txt'").groupBy("domain").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
@@ -177,7 +177,7 @@ def html_pages(s, d):
         F.lit("\">"), e("pdf_file_name"), F.lit("</a> now</p><h4>no</h4><h2>two <b>parts</b></h2></div></body></html>"),
     )
     rows = catalog.html_catalog(spread(table(s, d, "scanned_pages")).select("page_id", html.alias("html"))).drop("html")
-    link = F.element_at("links", 1)
+    link = F.get("links", F.lit(0))
     return rows.select("page_id", "title", F.array_join("headings", "|").alias("headings"), "text", link["href"].alias("href"), link["anchor"].alias("anchor"), link["snippet"].alias("snippet"))
 
 
