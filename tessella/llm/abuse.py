@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.abuse_seeds import seed_sentences
-from tessella.llm.sample import FIT_CHARS, bounded_sample, drawn, fit_text
+from tessella.llm.sample import FIT_CHARS, bounded_sample, drawn, fit_text, in_order
 from tessella.llm.words import mix, rejoined, visible
 from tessella.session import spread
 
@@ -307,7 +307,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, backgrou
     voted = bounded_sample(voted, F.col("doc_id"), most)
     texts = docs.select("doc_id", "text", drawn(docs, F.col("doc_id"), background).alias("behind")).join(F.broadcast(voted), "doc_id", "left")
     rows = texts.where(F.col("votes").isNotNull() | F.col("behind")).withColumn("text", fit_text(F.col("text"), most_chars)).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    rows = in_order(rows, "doc_id", "text")
     known = {r["doc_id"] for r in rows if r["votes"]}
     labelled = [(r["text"], {c: r[c] / r["votes"] for c in CATEGORIES}) for r in rows if r["votes"]]
     return fit(labelled, [r["text"] for r in rows if r["behind"] and r["doc_id"] not in known], negatives)

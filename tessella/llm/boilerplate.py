@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.sample import FIT_CHARS, bounded_sample
+from tessella.llm.sample import FIT_CHARS, bounded_sample, in_order
 from tessella.llm.words import WORDS
 from tessella.session import spread
 
@@ -446,7 +446,7 @@ def fit_on(pages: DataFrame, most: int = SAMPLE_PAGES, most_chars: int = FIT_CHA
     """Fit on at most ``most`` pages of up to ``most_chars`` characters, drawn by hash of their id."""
     cols = [F.col("page_text").alias("text"), F.col("page_title").alias("title"), "headings", F.coalesce("resource_id", F.lit(-1)).alias("site")]
     sample = bounded_sample(pages, F.col("page_id"), most).where(F.length("page_text") <= most_chars).select("page_id", *cols).collect()
-    sample = [r.asDict() for r in sorted(sample, key=lambda r: (r["page_id"], r["text"]))]
+    sample = [r.asDict() for r in in_order(sample, "page_id", "text")]
     return fit(sample, known=recurrence(pages, sample))
 
 
@@ -476,7 +476,8 @@ def _network(weights: dict) -> Network:
 
 
 def furniture_lines(pages: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
-    """(page_id, line_no, score) of the lines that are not main content."""
+    """(page_id, line_no, score) of the lines that are not main content; pages without an id are passed over."""
+    pages = pages.where("page_id is not null")
     shared = _shared(pages, net)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -490,7 +491,8 @@ def furniture_lines(pages: DataFrame, net: Network, threshold: float = THRESHOLD
 
 
 def main_text(pages: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
-    """(page_id, main_text): the page without its furniture lines, in one pass; null text stays null."""
+    """(page_id, main_text): the page without its furniture lines, in one pass; null text stays null, pages without an id are passed over."""
+    pages = pages.where("page_id is not null")
     shared = _shared(pages, net)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

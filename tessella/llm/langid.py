@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.sample import FIT_CHARS, bounded_sample, fit_text
+from tessella.llm.sample import FIT_CHARS, bounded_sample, fit_text, in_order
 from tessella.llm.words import rejoined, visible
 from tessella.session import spread
 
@@ -234,7 +234,7 @@ def fit_on(docs: DataFrame, text: str = "text", label: str = "lang", key: str =
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), label_code(F.col(label)).alias("l"))
     rows = bounded_sample(rows.where(F.col("l").isin(*LANGS)), F.col("k"), most)
     found = rows.select("k", fit_text(F.col("t"), most_chars).alias("t"), "l").where("t is not null").collect()
-    return fit([(r["t"], r["l"]) for r in sorted(found, key=lambda r: (r["k"], r["l"], r["t"]))])
+    return fit([(r["t"], r["l"]) for r in in_order(found, "k", "l", "t")])
 
 
 SEGMENT = "array<struct<start:int,end:int,lang:string,confidence:double,sentences:int,words:int>>"

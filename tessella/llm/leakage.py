@@ -8,7 +8,7 @@ anchor are posted, which drops no match, since a match needs its anchor.
 
 Words are compared after NFKC and without case, punctuation, spacing and invisible characters. A word broken by a hyphen
 at a line end is read both ways, as one word (variant 1) and as two (variant 0).
-Null or empty texts hold nothing; items of fewer than ``n`` words cannot leak; repeated items each count.
+Null or empty texts hold nothing; items of fewer than ``n`` words cannot leak; repeated items each count; rows without an id are passed over.
 
 The items are the held-out set. Their runs pass through the driver in blocks of ``BLOCK_RUNS``, each broadcast by itself
 and held against all documents, so any number of items, and items of any length, give the same result.
@@ -58,7 +58,7 @@ def phrases(items: DataFrame, n: int = 8, most: int | None = None) -> Iterator[p
         phrase = np.arange(number, number + len(m))
         return pd.DataFrame({"item_id": np.repeat(np.concatenate(ids), n), "phrase": np.repeat(phrase, n), "term": m.ravel(), "off": np.tile(np.arange(n, dtype=np.int32), len(m))})
 
-    for row in items.select("item_id", "question", "answer_ref", "refs").toLocalIterator():
+    for row in items.select("item_id", "question", "answer_ref", "refs").where("item_id is not null").toLocalIterator():
         hashed = [word_hashes(item_words(t)) for t in (row["question"], row["answer_ref"], *(row["refs"] or []))]
         own = [np.lib.stride_tricks.sliding_window_view(h, n) for h in hashed if len(h) >= n]
         own = np.unique(np.concatenate(own), axis=0) if own else np.empty((0, n), dtype=np.int64)
@@ -147,7 +147,7 @@ def _block_places(docs: DataFrame, runs: pd.DataFrame, n: int) -> DataFrame:
 
 def _over_blocks(docs: DataFrame, items: DataFrame, n: int, work, schema: str) -> DataFrame:
     """Union of ``work(docs, runs, n)`` over the blocks of runs."""
-    docs, found = spread(docs.select("doc_id", "text")), None
+    docs, found = spread(docs.select("doc_id", "text").where("doc_id is not null")), None
     for runs in phrases(items, n):
         part = work(docs, runs, n)
         found = part if found is None else found.unionByName(part)

@@ -19,7 +19,8 @@ pairs between different texts and the membership; ``page_groups`` has one row pe
 to one centre, so a template with very many slightly different pages costs one check a page and bucket, not one a pair.
 Buckets are worked on in blocks of ``BLOCK`` members, so no task ever holds more of a hot one.
 
-Pages of fewer than three words have an empty set and are similar to nothing. Null text likewise.
+Pages of fewer than three words have an empty set and are similar to nothing. Null text likewise. Rows without an id are passed over; a row
+that repeats an id with its text counts once in pairs.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def _index(df: DataFrame, id_col: str, text: str, words: int, groups: int) -> tu
                 keys = bucket_keys(sk, groups)
                 yield pd.DataFrame({"key": keys.ravel(), "rep": np.repeat(pdf["rep"].to_numpy(), keys.shape[1])})
 
-    src = spread(df.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text)))
+    src = spread(df.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text)).where(F.col(id_col).isNotNull()))
     rows = cut_lineage(src.mapInPandas(sketches, "id bigint, set_id bigint, n int, sk binary"))
     reps = rows.groupBy("set_id", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sk").alias("sk"))
     reps = cut_lineage(reps)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.langid import COMMON, LANGS, Model, WordScores, decode_costs, fit
-from tessella.llm.sample import FIT_CHARS, bounded_sample, fit_text
+from tessella.llm.sample import FIT_CHARS, bounded_sample, fit_text, in_order
 from tessella.llm.words import WORDS, visible
 from tessella.session import spread
 
@@ -339,7 +339,7 @@ def fit_on_pairs(pairs: DataFrame, most: int = SAMPLE_PAIRS, most_chars: int = F
     cols = [fit_text(F.col(c), most_chars).alias(c) for c in ("q", "a")]
     sample = bounded_sample(pairs, F.xxhash64("row_id", "q"), most).where("q is not null and a is not null").select("row_id", *cols).collect()
     labelled = []
-    for r in sorted(sample, key=lambda r: (r["row_id"], r["q"], r["a"])):
+    for r in in_order(sample, "row_id", "q", "a"):
         text = _QUOTED.sub(" ", visible(f"{r['q']} {r['a']}"))
         script = script_of(text)
         told = language_of(text, script) if script else None

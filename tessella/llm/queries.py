@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "scanned_pages")
-    return boilerplate.furniture_lines(pages, boilerplate.fit_on(pages)).select("page_id", "line_no")
+    return boilerplate.furniture_lines(pages, boilerplate.fit_on(pages)).select("page_id", "line_no").distinct()
 
 
 def p2_main_text(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +117,8 @@ def p8_own_quotas(spark: SparkSession, d: str) -> DataFrame:
 
 def _scores(spark: SparkSession, d: str, keep: tuple[str, ...]) -> DataFrame:
     docs = table(spark, d, "documents")
-    return abuse.scored(docs, abuse.fit_on(docs, table(spark, d, "doc_labels")), keep)
+    model = abuse.fit_on(docs, table(spark, d, "doc_labels"))
+    return abuse.scored(docs.where("doc_id is not null") if "doc_id" in keep else docs, model, keep)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +130,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.source_rates(_scores(spark, d, ("doc_id", "source")))
+    return abuse.source_rates(_scores(spark, d, ("source",)))
 
 
 def queries() -> dict[str, Query]:

@@ -31,6 +31,11 @@ def bounded_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
     return df.where(drawn(df, key, most))
 
 
+def in_order(rows: list, *names: str) -> list:
+    """Collected rows ordered by the named columns, nulls first, so that a fit does not depend on the order of tasks."""
+    return sorted(rows, key=lambda r: [(r[n] is not None, r[n] if r[n] is not None else 0) for n in names])
+
+
 def drawn_passages(text: str | None, most: int) -> str | None:
     """The text if it has at most ``most`` characters, else whole sentences or lines drawn by hash over its whole length, in their order.
 

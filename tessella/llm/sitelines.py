@@ -272,12 +272,12 @@ def _runs(page: np.ndarray, again: np.ndarray) -> list[tuple[int, int]]:
 def without_repeats(pages: DataFrame, lines: DataFrame, passages: DataFrame) -> DataFrame:
     """(page_id, kept_text, removed_lines, removed_chars): each page without its site's repeated lines and passages.
 
-    Pages without address are kept whole; null text stays null. Where the repeats are too many for a broadcast, pages meet the keys of their
+    Pages without address are kept whole, pages without an id are passed over; null text stays null. Where the repeats are too many for a broadcast, pages meet the keys of their
     site in salted groups of ``SALT_ROWS``, so a hot site is no hot task; a site has at most 1 / ``MIN_SHARE`` times as many keys as a page.
     """
     schema = "page_id bigint, kept_text string, removed_lines int, removed_chars int"
     keys = cut_lineage(_repeat_keys(lines, passages))
-    src = pages.select("page_id", "page_text", F.xxhash64(F.coalesce(site_of(F.col("page_url")), F.lit(""))).alias("site_h"))
+    src = pages.where("page_id is not null").select("page_id", "page_text", F.xxhash64(F.coalesce(site_of(F.col("page_url")), F.lit(""))).alias("site_h"))
 
     def frame(part: pd.DataFrame, hit) -> pd.DataFrame:
         rows = cut_pages(part["page_text"].tolist(), hit)
