@@ -117,7 +117,7 @@ def _index(df: DataFrame, id_col: str, text: str, words: int, groups: int) -> tu
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-reps.count() * groups * MASKS // TASK_KEYS))
     keyed = spread(reps.select("rep", "sk")).mapInPandas(buckets, "key bigint, rep bigint").repartition(tasks, "key")
     sizes = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = cut_lineage(keyed.join(sizes.hint("shuffle_hash"), "key"))
+    shared = cut_lineage(keyed.join(sizes.hint("shuffle_hash"), "key").hint("rebalance"))  # a small part of the keys, so few files
     return src, rows.drop("sk"), reps, shared
 
 
