@@ -5,7 +5,7 @@ Rows arrive in the order of id. Null questions count as ''.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import content_hash, model_key, squeeze
@@ -14,10 +14,15 @@ from tessella.functions.vectors import cosine, filled
 THRESHOLD, SCAN = 0.92, 200
 
 
+def distinct_files(files: Column) -> Column:
+    """Different non-empty names in order of first appearance; null gives none."""
+    return F.array_distinct(F.filter(F.coalesce(files, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")))
+
+
 def keyed(rows: DataFrame) -> DataFrame:
-    """Normalised texts, their hashes and the model key, computed anew from question, answer and model."""
+    """Normalised texts, their hashes, the model key and the different files, computed anew from question, answer, model and files."""
     q, a = squeeze(F.col("question")), squeeze(F.col("answer"))
-    return rows.withColumns({"question_normalized": q, "answer_normalized": a, "model_key": model_key(F.col("model")), "question_hash": content_hash(q), "answer_hash": content_hash(a)})
+    return rows.withColumns({"question_normalized": q, "answer_normalized": a, "model_key": model_key(F.col("model")), "question_hash": content_hash(q), "answer_hash": content_hash(a)} | ({"files": distinct_files(F.col("files"))} if "files" in rows.columns else {}))
 
 
 def storable(rows: DataFrame) -> DataFrame:

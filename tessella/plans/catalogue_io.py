@@ -325,11 +325,17 @@ def cache_answer_states(s, d):
     return asked.join(exact, "ask_id", "left").select("ask_id", F.when(F.col("id").isNotNull(), "exact").otherwise("open").alias("origin"))
 
 
+def cache_files(s, d):
+    """Files of each stored answer, once each in order, from a list that names them twice."""
+    rows = table(s, d, "cached_answers").withColumn("files", F.concat("files", F.array(F.lit("")), "files"))
+    return cache.keyed(rows).select("id", F.array_join("files", "|").alias("files"))
+
+
 NAMED = [
     files_scan_hash, files_site_folders, files_eval_lines, files_terms, files_known_sites, files_markdown_table, sink_clean_texts_append, sink_log_append_truncate, sink_clean_metadata, sink_schema_union,
     sink_catalog_rows, report_documents, limit_candidates, corpus_error_rows, non_blank_answers, cjk_marked, identifier_check, index_resume_by_hash, answer_previews, titles_escaped, numbers_grouped,
     links_resolved, confirm_tokens, html_pages, request_bodies, log_moments, image_sizes, detected_scripts, text_vectors, rerank_pairs, answer_eval_rows, crawl_frontier, catalog_new_downloads,
-    catalog_distinct_files, graph_filter_structured, graph_contexts, log_history_columns, log_image_stats, star_customers_without_urgent_orders, cache_answer_states,
+    catalog_distinct_files, graph_filter_structured, graph_contexts, log_history_columns, log_image_stats, star_customers_without_urgent_orders, cache_answer_states, cache_files,
 ]
 
 
@@ -407,5 +413,6 @@ SQL = {
     "log_image_stats": """select event_type status, count(*) requests, round(quantile_cont(value, 0.99), 6) duration_p99, round(avg(user_id * 2) filter (where event_id % 3 = 0), 6) image_width_mean,
         round(quantile_cont(user_id * 2, 0.5) filter (where event_id % 3 = 0), 6) image_width_p50, round(quantile_cont(user_id * 3 + 1, 0.5) filter (where event_id % 3 = 0), 6) image_height_p50 from events group by 1""",
     "star_customers_without_urgent_orders": "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')",
+    "cache_files": "select id, coalesce(array_to_string(list_transform(list_filter(range(1, len(files) + 1), lambda i: files[i] is not null and files[i] <> '' and list_position(files, files[i]) = i), lambda i: files[i]), '|'), '') files from cached_answers",
     "cache_answer_states": f"with {STATE} select a.id ask_id, case when exists (select 1 from g where g.question_hash = sha256(regexp_replace(lower({strip("coalesce(a.question, '')")}), '\\s+', ' ', 'g')) and g.model_key in (lower({strip("coalesce(a.model, '')")}), '')) then 'exact' else 'open' end origin from cached_answers a where a.id % 50 = 0",
 }

@@ -96,17 +96,53 @@ def write_report(report: dict, folder: str) -> tuple[str, str]:
     return paths
 
 
+def _table(name: str, rows: list, limit: int) -> str:
+    cell = lambda v: f"<td>{html.escape(grouped(v) if isinstance(v, int) else str(v))}</td>"
+    rows = [r if isinstance(r, dict) else {"value": r} for r in rows]
+    cols = list(rows[0]) if rows else ["value"]
+    body = "".join("<tr>" + "".join(cell(r.get(c)) for c in cols) + "</tr>" for r in rows[:limit])
+    return f"<h2>{html.escape(name)}</h2><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in cols)}</tr>{body}</table>"
+
+
+def summary_points(report: dict) -> list[str]:
+    """Sentences on the corpus: size, duplicates, main language, term coverage, errors, records."""
+    d, out = report.get("documents", {}), []
+    if d:
+        out.append(f"{grouped(d['processed'])} of {grouped(d['total_candidates'])} candidates were read, {grouped(d['unique'])} of them are different.")
+        if d["duplicates"]:
+            out.append(f"{grouped(d['duplicates'])} are copies ({percent(d['duplicate_ratio'], 2)}).")
+        if d["language_distribution"]:
+            name, n = max(d["language_distribution"].items(), key=lambda x: x[1])
+            out.append(f"The main language is {name} with {percent(n / max(d['unique'], 1))}.")
+        out.append(f"{grouped(d['short_documents'])} are short, {grouped(d['long_documents'])} long.")
+    if report.get("term_coverage", {}).get("listed"):
+        out.append(f"{percent(report['term_coverage']['ratio'])} of the listed terms occur.")
+    if report.get("errors_total"):
+        out.append(f"{grouped(report['errors_total'])} files gave no text.")
+    if report.get("db_available"):
+        out.append(f"{grouped(d.get('linked_clean_documents', 0))} are known to the records, {grouped(d.get('unlinked_clean_documents', 0))} saved ones are not.")
+    return out
+
+
 def dashboard(report: dict, rows: int = 15) -> str:
-    """Cards for single values, tables of the first ``rows`` entries for lists and dicts; all text escaped."""
+    """Summary, cards for single values, tables of the first ``rows`` entries for lists and nested parts; classes by field; all text escaped."""
     cards, tables = [], []
-    for name, value in report.items():
-        head = f"<h2>{html.escape(name)}</h2>"
-        if isinstance(value, dict):
-            value = [{"key": k, "value": v} for k, v in value.items()]
-        if isinstance(value, list):
-            cols = list(value[0]) if value and isinstance(value[0], dict) else ["value"]
-            body = "".join("<tr>" + "".join(f"<td>{html.escape(grouped(v.get(c)) if isinstance(v, dict) and isinstance(v.get(c), int) else str(v.get(c) if isinstance(v, dict) else v))}</td>" for c in cols) + "</tr>" for v in value[:rows])
-            tables.append(f"{head}<table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in cols)}</tr>{body}</table>")
+
+    def show(name: str, value) -> None:
+        if isinstance(value, dict) and any(isinstance(v, dict | list) for v in value.values()):
+            for k, v in value.items():
+                show(f"{name}: {k}" if isinstance(v, dict | list) else k, v)
+        elif isinstance(value, dict):
+            tables.append(_table(name, [{"key": k, "value": v} for k, v in value.items()], max(rows, len(value)) if name.endswith("_stats") else rows))
+        elif name == "classification_summary":
+            for field in dict.fromkeys(r["field"] for r in value):
+                tables.append(_table(f"{name}: {field}", [{k: v for k, v in r.items() if k != "field"} for r in value if r["field"] == field], rows))
+        elif isinstance(value, list):
+            tables.append(_table(name, value, max(rows, len(value)) if name == "quality_metrics" else rows))
         else:
-            cards.append(f"<div class='card'>{head}<p>{html.escape(grouped(value) if isinstance(value, int) else str(value))}</p></div>")
-    return f"<!doctype html><meta charset='utf-8'><title>Corpus report</title><body>{''.join(cards)}{''.join(tables)}</body>"
+            cards.append(f"<div class='card'><h2>{html.escape(name)}</h2><p>{html.escape(grouped(value) if isinstance(value, int) else str(value))}</p></div>")
+
+    for name, value in report.items():
+        show(name, value)
+    points = "".join(f"<li>{html.escape(p)}</li>" for p in summary_points(report))
+    return f"<!doctype html><meta charset='utf-8'><title>Corpus report</title><body><ul>{points}</ul>{''.join(cards)}{''.join(tables)}</body>"

@@ -67,6 +67,9 @@ def test_report(tmp_path):
     assert json.load(open(a))["n"] == 12345
     page = open(b).read()
     assert "12 345" in page and "&lt;x&gt;" in page and "<x>" not in page
+    told = {"documents": {"processed": 4, "total_candidates": 5, "unique": 3, "duplicates": 1, "duplicate_ratio": 0.25, "language_distribution": {"ru": 2, "de": 1}, "short_documents": 3, "long_documents": 0}, "errors_total": 1, "classification_summary": [{"field": f, "value": f"<{i}>", "total": i} for f in ("a", "b") for i in range(20)]}
+    page = sinks.dashboard(told)
+    assert "The main language is ru with 66.7%." in page and "1 files gave no text." in page and page.count("&lt;14&gt;") == 2 and "&lt;15&gt;" not in page
     assert sinks.percent(0.1234) == "12.3%" and sinks.percent(None) == "None" and sinks.grouped("x") == "x"
     assert sinks.grouped("12345.6") == "12 346" and sinks.grouped(12345.0, 2) == "12 345" and sinks.grouped(1234.567, 2) == "1 234.57" and sinks.grouped(True) == "True" and sinks.percent("0.5") == "50.0%"
 
