@@ -92,3 +92,13 @@ def release(*frames: DataFrame) -> None:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
             df._written = None
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all tables this session cut lineage with; frames that still read one cannot be computed afterwards."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(where):
+        for x in files.listStatus(where):
+            if x.getPath().getName().startswith(("table-", "io-")):
+                files.delete(x.getPath(), True)

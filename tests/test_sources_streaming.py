@@ -138,3 +138,6 @@ def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
     assert cut.count() == 3 and session.path_exists(spark, path)
     session.release(cut, spark.range(1))
     assert not session.path_exists(spark, path)
+    path = session.cut_lineage(spark.range(3))._written
+    session.clear_shared(spark)
+    assert not session.path_exists(spark, path) and session.cut_lineage(spark.range(2)).count() == 2
