@@ -29,6 +29,13 @@ def test_texts_are_cleaned_once_and_not_shuffled(spark):
     assert plan.count("ArrowEvalPython") == 1 and "Exchange hashpartitioning" not in plan
 
 
+def test_first_documents_beyond_the_broadcast(spark, as_rows, monkeypatch):
+    d = corpus.cleaned(made(spark, [(i, f"text {i % 4}", "en") for i in range(20)] + [(30, "alone", None)]))
+    want = as_rows(corpus.canonical(d).select("doc_id", "clean"))
+    monkeypatch.setattr(corpus, "BROADCAST_GROUPS", 0)
+    assert as_rows(corpus.canonical(d).select("doc_id", "clean")) == want and len(want) == 5
+
+
 def test_quantiles_by_rank_equal_the_direct_ones(spark, as_rows, monkeypatch):
     import random
 
