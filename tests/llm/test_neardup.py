@@ -102,6 +102,13 @@ def test_groups_equal_components_of_all_pairs(spark, monkeypatch):
     assert sorted((x.a, x.b) for x in neardup.similar_pairs(df).collect()) == sorted(pairs)
 
 
+def test_candidates_beyond_the_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(corpus(5)[:60])), "page_id long, page_text string")
+    want = sorted(map(tuple, neardup.similar_pairs(df).collect()))
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    assert want and sorted(map(tuple, neardup.similar_pairs(df).collect())) == want
+
+
 def test_long_chain_settles(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(80)], "a long, b long")
     got = neardup.components(edges).collect()
